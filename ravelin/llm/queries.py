@@ -22,3 +22,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), span=400)
