@@ -52,3 +52,32 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.quality import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.line_dedup import drop_boilerplate
+
+    kept = drop_boilerplate(table(spark, sf_dir, "documents"), host_col="source", counts=True)
+    return kept.selectExpr("doc_id", "source", "__lines AS n_lines", "__dropped AS n_dropped", "md5(cast(text AS binary)) AS kept_md5")
+
+
+ORACLE_SQL["op5_line_dedup"] = """
+WITH pages AS (SELECT doc_id, source, text, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents),
+totals AS (SELECT host, count(*) AS total FROM pages GROUP BY host),
+seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM pages) GROUP BY host, line),
+boiler AS (
+  SELECT host, list(line) AS dropped FROM seen JOIN totals USING (host)
+  WHERE total >= 20 AND n >= 5 AND n > 0.2 * total AND trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) <> '' GROUP BY host
+),
+kept AS (SELECT doc_id, source, text, lines, CASE WHEN dropped IS NULL THEN lines ELSE list_filter(lines, x -> NOT list_contains(dropped, x)) END AS left_over FROM pages LEFT JOIN boiler USING (host))
+SELECT doc_id, source, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(left_over), 0) AS BIGINT) AS n_dropped,
+  CASE WHEN text IS NULL THEN NULL ELSE md5(array_to_string(left_over, chr(10))) END AS kept_md5 FROM kept
+"""
