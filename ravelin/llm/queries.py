@@ -81,3 +81,34 @@ kept AS (SELECT doc_id, source, text, lines, CASE WHEN dropped IS NULL THEN line
 SELECT doc_id, source, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(left_over), 0) AS BIGINT) AS n_dropped,
   CASE WHEN text IS NULL THEN NULL ELSE md5(array_to_string(left_over, chr(10))) END AS kept_md5 FROM kept
 """
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.pii import digest_spans
+
+    return digest_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.chat import read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], rows.schema)
+    return read_back(rows.union(extra))
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
