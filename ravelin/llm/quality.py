@@ -11,10 +11,12 @@ documents is taken. A stratum with too few labels for any proof has no cutoff an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import row_key, staged
+from ravelin.llm.common import staged
 
 RISK, DELTA = 0.03, 0.05
 CUTOFFS: dict[str, list[float]] = {
@@ -24,39 +26,45 @@ CUTOFFS: dict[str, list[float]] = {
     "capital_share": [0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1],
     "word_length": [20.0, 15.0, 12.0, 11.0, 10.0, 9.0, 8.0],
 }
-SPACE = " \t\n\x0b\f\r"
+SPACE, SYMBOLS, CAPITALS = " \t\n\x0b\f\r", "#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 BROADCAST_STRATA = 10_000  # above, strata are joined by a shuffle
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: a lambda's argument isn't expanded into its places by the optimiser."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in the 3-word windows that are in the text twice or more."""
+    windows = F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+
+    def of(h: Column) -> Column:
+        same = lambda s, x, at: F.coalesce(F.get(s, at)["h"] == x["h"], F.lit(False))
+        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        starts = _let(placed, lambda s: F.array_sort(F.transform(F.filter(s, lambda x, i: same(s, x, i - 1) | same(s, x, i + 1)), lambda x: x["i"])))
+        covered = F.aggregate(starts, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), covered).otherwise(0)  # only texts with some window twice are sorted
+
+    return F.coalesce(_let(windows, of), F.lit(0))
+
+
 def with_signals(df: DataFrame, text: Column) -> DataFrame:
     """df with the struct `__q`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, capitals."""
-    out = df.withColumn("__t", F.coalesce(text, F.lit("")))
-    out = out.withColumn("__w", F.filter(F.split("__t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    lines = F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    out = out.withColumn("__l", lines).withColumn("__n", F.size("__w"))
-    triple = F.transform(F.sequence(F.lit(0), F.col("__n") - 3), lambda i: F.xxhash64(F.col("__w")[i], F.col("__w")[i + 1], F.col("__w")[i + 2]))
-    out = out.withColumn("__h", F.when(F.col("__n") >= 3, triple).otherwise(F.array().cast("array<bigint>")))
-    # only texts with some window twice are sorted
-    twice = F.size(F.array_distinct("__h")) < F.size("__h")
-    out = out.withColumn("__s", F.when(twice, F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, at: F.coalesce(F.get("__s", at)["h"] == x["h"], F.lit(False))
-    starts = F.array_sort(F.transform(F.filter("__s", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
-    covered = F.aggregate(starts, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
-    letters = F.length("__t") - F.length(F.translate("__t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    out = out.withColumn(
-        "__q",
-        F.struct(
-            F.col("__n").cast("long").alias("n_words"),
-            F.length(F.translate("__t", SPACE, "")).cast("long").alias("word_chars"),
-            (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-            F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-            F.size("__l").cast("long").alias("n_lines"),
-            letters.cast("long").alias("capitals"),
-        ),
-    )
-    return out.drop("__t", "__w", "__l", "__n", "__h", "__s")
+
+    def of(t: Column) -> Column:
+        words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+        counts = _let(words, lambda w: F.struct(F.size(w).alias("words"), _repeat_words(w).alias("repeats")))
+        by_line = _let(lines, lambda x: F.struct(F.size(x).alias("lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("repeats")))
+        without = lambda chars: F.length(F.translate(t, chars, ""))
+        whole = F.struct(counts.alias("w"), by_line.alias("l"), F.length(t).alias("n"), without(SPACE).alias("visible"), without(SYMBOLS).alias("plain"), without(CAPITALS).alias("small"))
+        values = lambda x: {"n_words": x["w"]["words"], "word_chars": x["visible"], "n_symbols": x["n"] - x["plain"], "n_dup_lines": x["l"]["repeats"], "n_repeat_words": x["w"]["repeats"], "n_lines": x["l"]["lines"], "capitals": x["n"] - x["small"]}
+        return _let(whole, lambda x: F.struct(*(v.cast("long").alias(k) for k, v in values(x).items())))
+
+    # rand() is never below 0; it keeps the optimiser from computing the struct anew in each condition above it
+    return df.withColumn("__q", F.when(F.rand(0) >= 0, _let(F.coalesce(text, F.lit("")), of)))
 
 
 def base_failed(q: Column) -> Column:
@@ -126,10 +134,9 @@ def labels_of(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return usable.groupBy(F.col(id_col).alias("__id")).agg((F.min(F.col(label_col).cast("int")) == 1).alias("good"))
 
 
-def cutoffs_for(signals: DataFrame, labels: DataFrame, id_col: str, stratum: Column, label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Cutoffs from documents that have labels and pass the base rules; signals has __q. Written to the shared folder: a few rows."""
-    known = signals.where(~base_failed(F.col("__q"))).select(F.col(id_col).alias("__id"), stratum.alias("stratum"), F.col("__q").alias("q"))
-    return staged(choose_cutoffs(known.join(labels_of(labels, id_col, label_col), "__id").select("stratum", "good", "q"), risk, delta), "cutoffs")
+def cutoffs_for(known: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Cutoffs from known(stratum, good, q), of which those that fail the base rules don't count. Written to the shared folder: a few rows."""
+    return staged(choose_cutoffs(known.where(~base_failed(F.col("q"))), risk, delta), "cutoffs")
 
 
 def stratum_of(df: DataFrame, stratum_col: str) -> Column:
@@ -145,13 +152,15 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     given = docs.select(F.col(id_col).alias(id_col), stratum_of(docs, stratum_col).alias("__lang"), F.col(text_col).alias("__given"))
     signals = staged(with_signals(given, F.col("__given")).drop("__given"), "signals")
-    chosen = cutoffs_for(signals, labels, id_col, F.col("__lang"), label_col, risk, delta)
+    known = signals.join(labels_of(labels, id_col, label_col), F.col(id_col) == F.col("__id")).select(F.col("__lang").alias("stratum"), "good", F.col("__q").alias("q"))
+    chosen = cutoffs_for(known, risk, delta)
     return judged(signals, chosen, F.col("__lang")).select(id_col, *(F.col(f"__q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that judge_quality keeps, with all their columns."""
     stratum = stratum_of(docs, stratum_col)
-    measured = with_signals(docs, F.col(text_col))
-    chosen = cutoffs_for(measured, labels, id_col, stratum, label_col, risk, delta)
-    return judged(measured, chosen, stratum).where("__kept").select(*docs.columns)
+    labelled = docs.select(F.col(id_col).alias("__own"), stratum.alias("stratum"), F.col(text_col).alias("__text")).join(labels_of(labels, id_col, label_col), F.col("__own") == F.col("__id"))
+    known = with_signals(labelled, F.col("__text")).select("stratum", "good", F.col("__q").alias("q"))
+    chosen = cutoffs_for(staged(known, "labelled-signals"), risk, delta)
+    return judged(with_signals(docs, F.col(text_col)), chosen, stratum).where("__kept").select(*docs.columns)
