@@ -12,6 +12,8 @@ input, and a lost task is computed again alone. A sequence_id holds the partitio
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,40 +32,43 @@ PIECES_AT_ONCE = 20_000
 
 
 class Ids:
-    """Ids by a tokenizer file, word by word from a bounded memory.
+    """Ids by a byte-level BPE file of the tokenizers library.
 
-    The tokenizer's own splitting pattern cuts a text into words whose ids don't depend on what stands around them.
-    A text that has one of the tokenizer's added strings, or a character outside Latin and common punctuation (where
-    libraries can differ in what counts as a letter), is encoded as a whole.
+    In such a file the ids follow the order of the merges, so tiktoken gets the same ids from the file's vocabulary in a
+    fraction of the time. A text that has one of the file's added strings, a very long white space, or a character outside
+    Latin and common punctuation (where libraries can differ in what counts as a letter), is encoded by tokenizers itself;
+    so is every text if the file's merges have another order.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    WORDS = 400_000
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.find = regex.compile(self.PATTERN).findall
-        added = [regex.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = regex.compile("|".join([r"[^\x00-\x1B\x20-\x84\x86-ɏ‐-‧€]", *added])).search
-        self.known: dict[str, bytes] = {}
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"[^\x00-\x1B\x20-\x84\x86-ɏ‐-‧€]", r"\s{4000}", *added])).search
+        self.fast = self._tiktoken(path)
+
+    def _tiktoken(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]  # the others are written as letters from 256 on
+        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        whole = {w: k for w, k in model["vocab"].items() if all(c in byte_of for c in w)}
+        ranks = {bytes(byte_of[c] for c in w): k for w, k in whole.items()}
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        order = [model["vocab"]["".join(m)] for m in pairs]
+        if order != sorted(order) or len(ranks) != 256 + len(order) or len(set(ranks) & {bytes([b]) for b in range(256)}) < 256:
+            return None
+        return tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.odd(text):
+        if self.fast is None or self.odd(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words, known = self.find(text), self.known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > self.WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
 
 def capacities(total: int, capacity: int) -> list[int]:
