@@ -160,7 +160,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that judge_quality keeps, with all their columns."""
     stratum = stratum_of(docs, stratum_col)
-    labelled = docs.select(F.col(id_col).alias("__own"), stratum.alias("stratum"), F.col(text_col).alias("__text")).join(labels_of(labels, id_col, label_col), F.col("__own") == F.col("__id"))
-    known = with_signals(labelled, F.col("__text")).select("stratum", "good", F.col("__q").alias("q"))
-    chosen = cutoffs_for(staged(known, "labelled-signals"), risk, delta)
-    return judged(with_signals(docs, F.col(text_col)), chosen, stratum).where("__kept").select(*docs.columns)
+    measured = staged(with_signals(docs, F.col(text_col)), "measured")  # once with its text, so that nothing is measured or shuffled again
+    known = measured.select(F.col(id_col).alias("__own"), stratum.alias("stratum"), F.col("__q").alias("q")).join(labels_of(labels, id_col, label_col), F.col("__own") == F.col("__id")).select("stratum", "good", "q")
+    return judged(measured, cutoffs_for(known, risk, delta), stratum).where("__kept").select(*docs.columns)
