@@ -1,0 +1,180 @@
+"""Ordered folds: state that passes from row to row of a key.
+
+Spark partitions by key and sorts; a task then streams through its rows and holds the state of one key, never its rows.
+"""
+
+from __future__ import annotations
+
+import bisect
+from collections import OrderedDict, deque
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+Step = Callable[..., tuple]
+
+
+def ordered_fold(df: DataFrame, key: str, order: list[str], kernel: Callable[[], Step], inputs: list[str], output: str) -> DataFrame:
+    """df's key, order and `output` columns. kernel() makes the state of a key; called with a row's inputs it gives its outputs."""
+    names = list(dict.fromkeys([key, *order, *inputs]))
+    rows = df.select(*names).repartition(key).sortWithinPartitions(key, *order)
+    head = StructType([rows.schema[c] for c in (key, *order)])
+    schema = StructType([*head.fields, *StructType.fromDDL(output).fields])
+    arrow, keep = to_arrow_schema(schema), [key, *order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Any = object()
+        step: Step = kernel()
+        for b in batches:
+            out = []
+            for own, *given in zip(b.column(key).to_pylist(), *(b.column(c).to_pylist() for c in inputs), strict=True):
+                if own != now:
+                    now, step = own, kernel()
+                out.append(step(*given))
+            made = list(zip(*out, strict=True)) or [()] * (len(arrow) - len(keep))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(arrow.field(c).type) for c in keep), *(pa.array(v, f.type) for v, f in zip(made, list(arrow)[len(keep) :], strict=True))], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+class ReuseDistance:
+    """Distinct other lines since the last access to the same line; none at the first access. Memory: the lines."""
+
+    def __init__(self) -> None:
+        self.last: dict[Any, int] = {}
+        self.times: list[int] = []
+        self.now = 0
+
+    def __call__(self, line: Any) -> tuple[int | None]:
+        before, self.now = self.last.get(line), self.now + 1
+        distance = None
+        if before is not None:
+            at = bisect.bisect_left(self.times, before)
+            distance = len(self.times) - at - 1
+            del self.times[at]
+        self.times.append(self.now)
+        self.last[line] = self.now
+        return (distance,)
+
+
+class Cache:
+    """A set of `ways` lines under a replacement policy; gives 1 for a hit."""
+
+    POLICIES = ("lru", "mru", "fifo", "second_chance", "lfu", "rrip")
+
+    def __init__(self, policy: str, ways: int):
+        if policy not in self.POLICIES:
+            raise ValueError(f"unknown policy {policy!r}")
+        self.policy, self.ways = policy, ways
+        self.lines: OrderedDict[Any, int] = OrderedDict()  # in order of insertion (lru, mru: of use)
+
+    def __call__(self, line: Any) -> tuple[int]:
+        hit = line in self.lines
+        if hit:
+            self._touch(line)
+        else:
+            if len(self.lines) >= self.ways:
+                del self.lines[self._victim()]
+            self.lines[line] = {"rrip": 2, "lfu": 1}.get(self.policy, 0)
+        return (int(hit),)
+
+    def _touch(self, line: Any) -> None:
+        if self.policy in ("lru", "mru"):
+            self.lines.move_to_end(line)
+        elif self.policy == "lfu":
+            self.lines[line] += 1
+        elif self.policy == "second_chance":
+            self.lines[line] = 1
+        elif self.policy == "rrip":
+            self.lines[line] = 0
+
+    def _victim(self) -> Any:
+        if self.policy == "mru":
+            return next(reversed(self.lines))
+        if self.policy == "lfu":
+            return min(self.lines, key=self.lines.__getitem__)  # the oldest of equals
+        if self.policy == "rrip":
+            far = max(self.lines.values())
+            for k in self.lines:
+                self.lines[k] += 3 - far
+            return max(self.lines, key=self.lines.__getitem__)
+        if self.policy == "second_chance":
+            while self.lines[next(iter(self.lines))]:
+                line = next(iter(self.lines))
+                self.lines[line] = 0
+                self.lines.move_to_end(line)
+        return next(iter(self.lines))
+
+
+class LocalPredictor:
+    """Saturating two-bit counters: (predicted, right) of each outcome of a branch."""
+
+    def __init__(self, bits: int = 2):
+        self.most = (1 << bits) - 1
+        self.counter = 0
+
+    def __call__(self, taken: bool) -> tuple[int, int]:
+        predicted = 2 * self.counter > self.most
+        self.counter = min(self.most, self.counter + 1) if taken else max(0, self.counter - 1)
+        return int(predicted), int(predicted == bool(taken))
+
+
+class Stride:
+    """(stride, confidence, prefetch): how often a stride came in a row; an address to fetch from `threshold` on."""
+
+    def __init__(self, threshold: int = 2):
+        self.threshold = threshold
+        self.last: int | None = None
+        self.stride, self.confidence = 0, 0
+
+    def __call__(self, addr: int) -> tuple[int, int, int | None]:
+        if self.last is not None:
+            stride = addr - self.last
+            self.confidence = self.confidence + 1 if stride == self.stride and stride else 0
+            self.stride = stride
+        self.last = addr
+        return self.stride, self.confidence, addr + self.stride if self.confidence >= self.threshold else None
+
+
+class ProportionalFair:
+    """Rank of the master before each packet; scores fade by `weight` and grow with the bytes served."""
+
+    def __init__(self, weight: float = 0.5):
+        self.weight, self.scores = weight, {}
+
+    def __call__(self, master: Any, size: float) -> tuple[int, float]:
+        self.scores.setdefault(master, 0.0)
+        rank = sum(1 for m, s in self.scores.items() if s > self.scores[master])
+        self.scores = {m: (1 - self.weight) * s for m, s in self.scores.items()}
+        self.scores[master] += self.weight * size
+        return rank, round(self.scores[master], 6)
+
+
+class RecentWindow:
+    """Mean of the last n values, cut off to an integer."""
+
+    def __init__(self, n: int):
+        self.values: deque[int] = deque(maxlen=n)
+
+    def __call__(self, value: int) -> tuple[int]:
+        self.values.append(value)
+        return (sum(self.values) // len(self.values),)
+
+
+def reuse_distance(df: DataFrame, line: str, order: list[str], set_col: str) -> DataFrame:
+    """(set, order.., distance) of each access; null at a line's first. Accesses of a set are one sequence."""
+    return ordered_fold(df, set_col, order, ReuseDistance, [line], "distance long")
+
+
+def cache_hits(df: DataFrame, line: str, order: list[str], set_col: str, policy: str = "lru", ways: int = 4) -> DataFrame:
+    """(set, order.., hit) of each access."""
+    return ordered_fold(df, set_col, order, lambda: Cache(policy, ways), [line], "hit long")
+
+
+def hit_summary(hits: DataFrame) -> DataFrame:
+    return hits.agg(F.count("*").alias("accesses"), F.sum("hit").alias("hits"))
