@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions import bits
-from ravelin.operators import folds, ranges, stats, trace
+from ravelin.operators import folds, lsm, ranges, sets, stats, trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -411,3 +412,78 @@ def stream_cache_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"stream_periodic_dump": stream_periodic_dump, "stream_cache_sim": stream_cache_sim}
 ORACLE_SQL["stream_periodic_dump"] = f"SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS dump, count(*) AS n, CAST(sum({CENTS.format('value')}) AS BIGINT) AS total FROM events GROUP BY 1 HAVING epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) + 3600000000 <= (SELECT epoch_us(max(ts)) FROM events)"
 ORACLE_SQL["stream_cache_sim"] = 'WITH a AS (SELECT user_id % 16 AS "set", user_id, lag(user_id) OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS before FROM events) SELECT "set", count(*) AS accesses, count(*) FILTER (user_id = before) AS hits FROM a GROUP BY 1'
+
+
+def _by(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def bloom_semi_join(t):
+    """The filter first, then the exact join on what it lets through."""
+    keys = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    orders = t("orders").select("o_orderkey", "o_custkey")
+    return sets.bloom_semi_join(orders, "o_custkey", sets.bloom_words(keys, "o_custkey")).join(keys, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query('WITH d AS (SELECT DISTINCT event_id AS seq, unnest([event_id - user_id % 5, event_id - 2 - user_id % 40]) AS dep FROM events) SELECT seq, dep, seq - dep AS distance FROM d WHERE dep < seq AND seq - dep <= 32 AND dep IN (SELECT event_id FROM events)')
+def trace_dependency_edges(t):
+    rows = t("events").select(F.col("event_id").alias("seq"), F.array(F.col("event_id") - F.col("user_id") % 5, F.col("event_id") - 2 - F.col("user_id") % 40).alias("deps"))
+    return sets.dependency_edges(rows, "seq", "deps", 32)
+
+
+@query("SELECT l_suppkey, count(*) AS valid FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1 ORDER BY 2, 1 LIMIT 5")
+def collection_victims(t):
+    return sets.collection_victims(t("lineitem").where("l_returnflag <> 'R'").groupBy("l_suppkey").agg(F.count("*").alias("valid")), "valid", "l_suppkey", 5)
+
+
+@query("WITH e AS (SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, round(pow(sum(n), 2) / (count(*) * sum(n * n)), 9) AS evenness FROM e GROUP BY 1")
+def wear_evenness(t):
+    return sets.wear_evenness(t("lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.count("*").alias("n")), ["l_returnflag"], "n")
+
+
+LINES = "SELECT l_orderkey, list(l_partkey * l_linenumber) AS w FROM lineitem GROUP BY 1"
+
+
+@query(f"WITH s AS (SELECT l_orderkey, len(w) AS n, list_max(w) AS hi, list_min(w) AS lo FROM ({LINES})) SELECT l_orderkey, CAST(least(CASE WHEN hi = 0 AND lo = 0 THEN 1 ELSE n * 64 END, CASE WHEN hi = lo THEN 64 ELSE n * 64 END, CASE WHEN hi - lo < 128 THEN 64 + n * 8 ELSE n * 64 END, CASE WHEN hi - lo < 32768 THEN 64 + n * 16 ELSE n * 64 END, CASE WHEN hi - lo < 2147483648 THEN 64 + n * 32 ELSE n * 64 END, n * 64) AS BIGINT) AS bits FROM s")
+def compressed_sizes(t):
+    """Lines of 64-bit words: the words of an order."""
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey") * F.col("l_linenumber")).alias("w"))
+    return sets.compressed_sizes(lines, F.col("w")).select("l_orderkey", "bits")
+
+
+@query("WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag) AS place FROM c")
+def compressor_rank(t):
+    counts = t("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
+    return sets.ranked(counts, ["l_suppkey"], [F.col("n").desc(), F.col("l_returnflag")])
+
+
+PATHS = "SELECT DISTINCT s_nationkey AS a, (s_nationkey * 7 + s_suppkey) % 25 AS b, s_suppkey % 9 + 1 AS w FROM supplier"
+
+
+@_by("topology_shortest_paths", f"WITH RECURSIVE e AS (SELECT a, b, min(w) AS w FROM ({PATHS}) GROUP BY 1, 2), p(source, node, cost, hops) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0::BIGINT, 0 FROM nation UNION SELECT p.source, CAST(e.b AS BIGINT), CAST(p.cost + e.w AS BIGINT), p.hops + 1 FROM p JOIN e ON p.node = e.a WHERE p.hops < 12) SELECT source, node, min(cost) AS cost FROM p GROUP BY 1, 2")
+def topology_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.streaming.jobs import stream_folder
+
+    folder = stream_folder(spark)
+
+    def staged(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    suppliers, nations = spark.read.parquet(f"{sf_dir}/supplier.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    edges = suppliers.select(F.col("s_nationkey").cast("long").alias("a"), ((F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 25).cast("long").alias("b"), (F.col("s_suppkey") % 9 + 1).cast("long").alias("w"))
+    return sets.shortest_paths(edges, nations.select(F.col("n_nationkey").cast("long").alias("source")), 4, staged)
+
+
+@_by("lsm_allocate", "WITH f AS (SELECT p_partkey AS file, CAST(p_partkey % 4 AS INT) AS channel, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS n FROM part WHERE p_partkey <= 100) SELECT file, channel * 512 + n - 1 AS lbn FROM f")
+def lsm_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 100").select(F.col("p_partkey").alias("file"), (F.col("p_partkey") % 4).cast("int").alias("channel"))
+    return lsm.allocate(lsm.new_pool(spark), files)
