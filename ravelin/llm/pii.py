@@ -33,6 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, MIN_SUPPORT, MIN_SHARE = 8, 3, 0.25
 GENERALISE, REMOVE = 0.75, 0.9
 TABLE_BITS = 24  # of the bit table: 2 MB
+BROADCAST_DOCUMENTS = 1_000_000  # keys of 8 bytes
 BROADCAST_ENTITIES = 50_000  # of 2 WINDOW / MIN_SHARE terms of 16 bytes at most, in practice a few each
 
 Span = tuple[str, int, int]
@@ -259,7 +260,9 @@ def protected_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if found.select("entity").distinct().count() <= BROADCAST_ENTITIES:
         per_entity = F.broadcast(per_entity)
     mentioned = base.where(F.size("mentions") > 0).select("row_key", "spans", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
-    wanted = mentioned.join(per_entity, "entity").groupBy("row_key").agg(F.first("spans").alias("spans"), F.flatten(F.collect_list("terms")).alias("terms"))
+    wanted = staged(mentioned.join(per_entity, "entity").groupBy("row_key").agg(F.first("spans").alias("spans"), F.flatten(F.collect_list("terms")).alias("terms")), "wanted")
+    if wanted.count() <= BROADCAST_DOCUMENTS:  # then their keys find the texts, and the others aren't shuffled
+        given = given.join(F.broadcast(wanted.select("row_key")), "row_key", "left_semi")
     placed = given.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"]).select("row_key", "text", "terms", "spans").mapInArrow(_term_spans, "row_key long, terms array<struct<start:bigint,end:bigint,disclosure:double>>")
     return base.select("id", "row_key", "spans").join(placed, "row_key", "left").select(F.col("id").alias(id_col), "row_key", "spans", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")).alias("terms"))
 
