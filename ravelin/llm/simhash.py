@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     distinct = marked.groupBy("fp").agg(F.min("id").alias("least"))
     heads = components(links(distinct.select("fp"), distance, bucket_limit))
     of_fp = distinct.join(heads.select(F.col("u").alias("fp"), F.col("v").alias("head")), "fp", "left").withColumn("head", F.coalesce("head", "fp"))
-    least = of_fp.groupBy("head").agg(F.min("least").alias("component_id"))
+    # read from a file, so that both sides of the join are dealt for it alone and Spark can split a large component
+    least = staged(of_fp.groupBy("head").agg(F.min("least").alias("component_id")), "heads")
     named = of_fp.select("fp", "head").join(least, "head").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row_key")
