@@ -296,7 +296,8 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # strings that occur twice or more; one_context: all their contexts are equal
     strings = anchors.groupBy("string").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.min("before").alias("b0"), F.max("before").alias("b1"))
     repeated = strings.where("n > 1").select("string", ((F.col("c0") == F.col("c1")) & (F.col("b0") == F.col("b1"))).alias("one_context"))
-    kept = staged(anchors.join(repeated, "string"), "repeated")
+    # read from a file, so that both sides of the join are dealt for it alone and Spark can split a hot string
+    kept = staged(anchors.join(staged(repeated, "strings"), "string"), "repeated")
     mixed = kept.where("not one_context")
     contexts = mixed.groupBy("string", "context", "before", "after").agg(F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.min_by("pos", "row_key").alias("pos"))
     contexts = staged(contexts, "contexts")
