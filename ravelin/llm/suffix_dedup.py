@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ravelin.llm.common import row_key, staged, utf8
 
 SPAN, ANCHOR = 400, 128
+BROADCAST_CONTEXTS = 200_000  # of 24 bytes each
 SEGMENT = 1 << 20  # bytes that are handled at once
 INDEX_BITS = np.uint64(22)
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
@@ -311,7 +312,10 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     often = spread.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
     hot = spread.join(often, "window").where("copies = 1").select("row_key", "lo", (F.col("lo") + span).alias("hi"), F.xxhash64("window").alias("repeat_id"))
     whole = lambda df: df.select("row_key", (F.col("pos") - F.col("before")).alias("lo"), (F.col("pos") + F.col("after")).alias("hi"), F.col("context").alias("repeat_id"))
-    copied = mixed.join(contexts.where("copies > 1").select("string", "context", "before", "after"), ["string", "context", "before", "after"])
+    again = staged(contexts.where("copies > 1").select("string", "context", "before", "after"), "copied")
+    if again.count() <= BROADCAST_CONTEXTS:  # else a shuffle join, of which Spark splits hot contexts
+        again = F.broadcast(again)
+    copied = mixed.join(again, ["string", "context", "before", "after"])
     return whole(kept.where("one_context")).union(whole(copied)).union(trees).union(hot)
 
 
