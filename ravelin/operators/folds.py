@@ -178,3 +178,55 @@ def cache_hits(df: DataFrame, line: str, order: list[str], set_col: str, policy:
 
 def hit_summary(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count("*").alias("accesses"), F.sum("hit").alias("hits"))
+
+
+class TreePlru:
+    """A set of `ways` (a power of two) lines under tree pseudo-LRU: each bit of a heap points to the half to evict from."""
+
+    def __init__(self, ways: int):
+        self.ways = ways
+        self.bits = [0] * ways  # bits[1:] are the tree's nodes
+        self.lines: list[Any] = [None] * ways
+        self.way_of: dict[Any, int] = {}
+
+    def _away_from(self, way: int) -> None:
+        node = way + self.ways
+        while node > 1:
+            node, right = node >> 1, node & 1
+            self.bits[node] = 1 - right
+
+    def _victim(self) -> int:
+        node = 1
+        while node < self.ways:
+            node = 2 * node + self.bits[node]
+        return node - self.ways
+
+    def __call__(self, line: Any) -> tuple[int]:
+        way = self.way_of.get(line)
+        hit = way is not None
+        if way is None:
+            way = len(self.way_of) if len(self.way_of) < self.ways else self._victim()
+            self.way_of.pop(self.lines[way], None)
+            self.lines[way], self.way_of[line] = line, way
+        self._away_from(way)
+        return (int(hit),)
+
+
+class LeastRecentlyGranted:
+    """Grants of a queue that serves its masters in turn: how many others were granted since a master's last grant (all known ones at its first)."""
+
+    def __init__(self) -> None:
+        self.order: OrderedDict[Any, None] = OrderedDict()
+
+    def __call__(self, master: Any) -> tuple[int]:
+        if master not in self.order:
+            since = len(self.order)
+        else:
+            since = 0
+            for m in reversed(self.order):
+                if m == master:
+                    break
+                since += 1
+        self.order[master] = None
+        self.order.move_to_end(master)
+        return (since,)

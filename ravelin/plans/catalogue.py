@@ -487,3 +487,21 @@ def topology_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsm_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 100").select(F.col("p_partkey").alias("file"), (F.col("p_partkey") % 4).cast("int").alias("channel"))
     return lsm.allocate(lsm.new_pool(spark), files)
+
+
+@query()
+def cache_tree_plru(t):
+    hits = folds.ordered_fold(accesses(t), "set", ["event_id"], lambda: folds.TreePlru(4), ["user_id"], "hit long")
+    return hits.groupBy("set").agg(F.count("*").alias("accesses"), F.sum("hit").alias("hits"))
+
+
+@query('WITH e AS (SELECT user_id % 16 AS queue, event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT a.queue, a.event_id, (SELECT count(DISTINCT q.user_id) FROM e q WHERE q.queue = a.queue AND q.event_id < a.event_id AND q.event_id > coalesce(a.prev, -1)) AS since FROM e a')
+def queue_lrg(t):
+    rows = t("events").select((F.col("user_id") % 16).alias("queue"), "event_id", "user_id")
+    return folds.ordered_fold(rows, "queue", ["event_id"], folds.LeastRecentlyGranted, ["user_id"], "since long")
+
+
+@query("SELECT l_partkey, CASE WHEN l_partkey <= 5 THEN 0 WHEN l_partkey <= 7 THEN 1 ELSE ((l_partkey - 8) >> 1) % 3 END AS page_type, CAST(max((l_partkey + 511) // 512 * 25) AS BIGINT) AS latency FROM lineitem GROUP BY 1, 2")
+def flash_latency(t):
+    pages = t("lineitem").select("l_partkey").distinct()
+    return pages.select("l_partkey", bits.flash_page_type(F.col("l_partkey"), 3).alias("page_type"), bits.pages_latency(F.col("l_partkey"), 512, 25).alias("latency"))

@@ -137,3 +137,14 @@ def test_framed_records(spark, tmp_path):
     (tmp_path / "packed.bin").write_bytes(gzip.compress(data + b"\0after"))
     got = packets.read_framed(spark, str(tmp_path)).collect()
     assert sorted((r.record_no, bytes(r.record)) for r in got) == sorted([(k, r) for k, r in enumerate(records)] * 2)
+
+
+def test_tree_plru_of_two_ways_is_lru():
+    lines = random.Random(6).choices(range(4), k=500)
+    plru, lru = folds.TreePlru(2), folds.Cache("lru", 2)
+    assert [plru(x) for x in lines] == [lru(x) for x in lines]
+
+
+def test_tree_plru_keeps_what_fits():
+    plru = folds.TreePlru(8)
+    assert sum(plru(x)[0] for x in [*range(8)] * 5) == 32
