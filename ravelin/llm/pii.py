@@ -6,12 +6,13 @@
    equal surroundings (copies) count once. n(c), n(c, t) are numbers of mentions, n(t) and N numbers of words, all over
    the whole corpus.
 3. Disclosure. A term t gives away PMI(c, t) = log(n(c, t) N / (n(c) n(t))) of the information IC(c) = log(N / n(c))
-   of the entity; disclosure is their quotient, 1 for a term that stands nowhere but beside c. A term that stands beside
-   `min_support` mentions and in `min_share` of them counts; so an entity has 2 window / min_share terms at most.
+   of the entity; disclosure is their quotient, 1 for a term that stands nowhere but beside c. Every term that stands
+   beside `min_support` mentions counts.
 4. Sanitising. In documents that mention c, its terms are generalised from GENERALISE on and removed from REMOVE on.
 
 Only terms that stand beside entities are counted over the corpus: their hashes are looked up in a bit table of fixed
-size, so no vocabulary is shuffled or broadcast. Texts move only for documents in which there is a term to act upon.
+size, so no vocabulary is shuffled or broadcast. An entity can have any number of terms: they are rows, and a document
+gives out only those pairs of its entities and words that a second such table lets through.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 from ravelin.llm.common import row_key, staged
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, MIN_SUPPORT, MIN_SHARE = 8, 3, 0.25
+WINDOW, MIN_SUPPORT = 8, 3
+MIN_SHARE = 0.0  # no share of the mentions is asked for
 GENERALISE, REMOVE = 0.75, 0.9
-TABLE_BITS = 24  # of the bit table: 2 MB
+TABLE_BITS = 24  # of a bit table: 2 MB
 BROADCAST_DOCUMENTS = 1_000_000  # keys of 8 bytes
-BROADCAST_ENTITIES = 50_000  # of 2 WINDOW / MIN_SHARE terms of 16 bytes at most, in practice a few each
+BROADCAST_PAIRS = 500_000  # of entity and term, 24 bytes; above, they are joined by a shuffle
+SALT = 32  # parts of a pair in that shuffle
 
 Span = tuple[str, int, int]
 
@@ -202,42 +205,67 @@ def _word_counts(bits: int, table: bytes):
     return run
 
 
-def _term_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of a document's disclosing terms outside its base spans."""
-    for b in batches:
-        out = []
-        for text, terms, spans in zip(b.column("text").to_pylist(), b.column("terms").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            level: dict[int, float] = {}
-            for t in terms:
-                level[t["term"]] = max(t["disclosure"], level.get(t["term"], 0.0))
-            taken = sorted((s["start"], s["end"]) for s in spans)
-            starts, ends = [a for a, _ in taken], list(_running_max(e for _, e in taken))
-            hashes: dict[str, int] = {}
-            found = []
-            for m in _TERM.finditer(text):
-                h = hashes.get(m.group())
-                if h is None:
-                    h = hashes[m.group()] = term_of(m.group())
-                if h in level:
+def _bit_table(hashes: Column, rows: DataFrame, bits: int = TABLE_BITS) -> bytes:
+    """A bit for each hash, at its upper bits."""
+    slot = F.shiftrightunsigned(hashes.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
+    table = bytearray(1 << (bits - 3))
+    for r in rows.select(slot.alias("slot")).groupBy(F.expr("slot div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("bits")).collect():  # 2 ** (bits - 3) rows at most
+        table[r.byte] = r.bits
+    return bytes(table)
+
+
+def _in_table(table: np.ndarray, hashes: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
+    slot = (hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - bits)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _term_places(term_table: bytes, pair_table: bytes):
+    """(row_key, entity, term, places) of the document's entities and of its words outside base spans, where both tables know the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, pairs = np.frombuffer(term_table, np.uint8), np.frombuffer(pair_table, np.uint8)
+        for b in batches:
+            rows: list[tuple[int, int, int, list]] = []
+            for key, text in zip(b.column("row_key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                spans = base_spans(text)
+                taken = sorted((x, y) for _, x, y in spans)
+                starts, ends = [x for x, _ in taken], list(_running_max(y for _, y in taken))
+                places: dict[int, list] = {}
+                hashes: dict[str, int] = {}
+                for m in _TERM.finditer(text):
                     k = bisect.bisect_left(starts, m.end()) - 1
                     if k < 0 or ends[k] <= m.start():
-                        found.append({"start": m.start(), "end": m.end(), "disclosure": level[h]})
-            out.append(found)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("disclosure", pa.float64())]))
-        yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array(out, kind)], names=["row_key", "terms"])
+                        h = hashes.get(m.group())
+                        if h is None:
+                            h = hashes[m.group()] = term_of(m.group())
+                        places.setdefault(h, []).append({"start": m.start(), "end": m.end()})
+                words = np.array(list(places), np.int64)
+                words = words[_in_table(terms, words)] if len(words) else words
+                if not len(words):
+                    continue
+                for e in sorted({entity_of(k, text[x:y]) for k, x, y in spans}):
+                    rows += [(key, e, w, places[w]) for w in words[_in_table(pairs, words ^ np.int64(e))].tolist()]
+                    if len(rows) > 100_000:
+                        yield _place_batch(rows)
+                        rows = []
+            yield _place_batch(rows)
+
+    return run
+
 
+def _place_batch(rows: list[tuple[int, int, int, list]]) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], kind)], names=["row_key", "entity", "term", "places"])
 
-def disclosing_terms(mentions: DataFrame, texts: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE, threshold: float = GENERALISE, table_bits: int = TABLE_BITS) -> DataFrame:
+
+def disclosing_terms(mentions: DataFrame, texts: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, threshold: float = GENERALISE, table_bits: int = TABLE_BITS) -> DataFrame:
     """mentions(entity, around, terms), texts(text) -> (entity, term, disclosure) from the threshold on."""
     distinct = staged(mentions.groupBy("entity", "around").agg(F.first("terms").alias("terms")), "mentions")
     often = distinct.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_support)
     pairs = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_support)
-    pairs = staged(pairs.join(often, "entity").where(F.col("n_ct") >= F.lit(min_share) * F.col("n_c")), "pairs")
-    table = bytearray(1 << (table_bits - 3))
-    slot = F.shiftrightunsigned(F.col("term").bitwiseXOR(F.lit(-(1 << 63))), 64 - table_bits)
-    for r in pairs.select(slot.alias("slot")).groupBy(F.expr("slot div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("bits")).collect():  # 2 ** (table_bits - 3) rows at most
-        table[r.byte] = r.bits
-    counts = texts.mapInArrow(_word_counts(table_bits, bytes(table)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    pairs = staged(pairs.join(often, "entity"), "pairs")
+    table = _bit_table(F.col("term"), pairs, table_bits)
+    counts = texts.mapInArrow(_word_counts(table_bits, table), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     counts = staged(counts, "word-counts")
     total = counts.where("term is null").agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0]
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))
@@ -245,7 +273,7 @@ def disclosing_terms(mentions: DataFrame, texts: DataFrame, window: int = WINDOW
     return pairs.join(counts, "term").withColumn("disclosure", F.when(ic > 0, F.least(F.lit(1.0), pmi / ic)).otherwise(0.0)).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def protected_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_support: int = MIN_SUPPORT, min_share: float = MIN_SHARE, threshold: float = GENERALISE) -> DataFrame:
+def protected_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_support: int = MIN_SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """One row per row of docs: id, row_key, spans (base entities by kind, then start) and terms (start, end, disclosure).
 
     A null text is empty; rows repeated in docs are copies, so their mentions count once, and each gets its spans; null
@@ -255,15 +283,21 @@ def protected_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = given.schema["id"].dataType.simpleString()
     base = staged(given.mapInArrow(_base_rows(window), f"id {kind}, row_key long, spans {SPANS}, mentions {MENTIONS}"), "base-spans")
     mentions = base.select(F.explode("mentions").alias("m")).select("m.entity", "m.around", "m.terms")
-    found = staged(disclosing_terms(mentions, given.select("text"), window, min_support, min_share, threshold), "disclosing")
-    per_entity = found.groupBy("entity").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))  # 2 window / min_share at most
-    if found.select("entity").distinct().count() <= BROADCAST_ENTITIES:
-        per_entity = F.broadcast(per_entity)
-    mentioned = base.where(F.size("mentions") > 0).select("row_key", "spans", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
-    wanted = staged(mentioned.join(per_entity, "entity").groupBy("row_key").agg(F.first("spans").alias("spans"), F.flatten(F.collect_list("terms")).alias("terms")), "wanted")
-    if wanted.count() <= BROADCAST_DOCUMENTS:  # then their keys find the texts, and the others aren't shuffled
-        given = given.join(F.broadcast(wanted.select("row_key")), "row_key", "left_semi")
-    placed = given.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"]).select("row_key", "text", "terms", "spans").mapInArrow(_term_spans, "row_key long, terms array<struct<start:bigint,end:bigint,disclosure:double>>")
+    found = staged(disclosing_terms(mentions, given.select("text"), window, min_support, threshold), "disclosing")
+    entities = found.select("entity").distinct()
+    few = found.count() <= BROADCAST_PAIRS
+    mentioned = base.where(F.size("mentions") > 0).select("row_key", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
+    wanted = staged(mentioned.join(F.broadcast(entities) if few else entities, "entity", "left_semi").select("row_key").distinct(), "wanted")
+    given = given.select("row_key", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCUMENTS else wanted, "row_key", "left_semi")
+    tables = _bit_table(F.col("term"), found), _bit_table(F.col("entity").bitwiseXOR(F.col("term")), found)
+    places = given.mapInArrow(_term_places(*tables), "row_key long, entity long, term long, places array<struct<start:bigint,end:bigint>>")
+    if few:
+        sure = places.join(F.broadcast(found), ["entity", "term"])
+    else:  # a pair can be in very many documents
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        sure = places.withColumn("salt", F.pmod("row_key", F.lit(SALT)).cast("int")).join(salted, ["entity", "term", "salt"])
+    each = sure.select("row_key", F.explode("places").alias("p"), "disclosure").groupBy("row_key", "p").agg(F.max("disclosure").alias("disclosure"))
+    placed = each.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("p.start", "p.end", "disclosure"))).alias("terms"))  # a document's words at most
     return base.select("id", "row_key", "spans").join(placed, "row_key", "left").select(F.col("id").alias(id_col), "row_key", "spans", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")).alias("terms"))
 
 

@@ -118,3 +118,21 @@ def test_sanitised_texts(spark):
 def test_small_tables(spark, rows):
     got = P.digest_spans(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.doc_id, r.n_email, r.spans) for r in got] == [(d, 0, "") for d, _ in rows]
+
+
+def hot_corpus():
+    """One address in 100 different mentions, a term of its own beside 10 of them."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(k, f"{prose(40)} {'Xanadu' if k < 10 else prose(1)} hot@mail.example.com {prose(40)}") for k in range(100)]
+    return rows, [(1000 + k, prose(60)) for k in range(100)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_terms_beside_a_small_share_of_the_mentions(spark, monkeypatch, few):
+    monkeypatch.setattr(P, "BROADCAST_PAIRS", 10**6 if few else -1)
+    rows, others = hot_corpus()
+    got = {r.doc_id: r for r in P.protected_spans(spark.createDataFrame(rows + others, SCHEMA)).collect()}
+    assert all([rows[k][1][t.start : t.end] for t in got[k].terms].count("Xanadu") == (k < 10) for k in range(100))
+    assert all(t.disclosure == 1.0 for t in got[3].terms if rows[3][1][t.start : t.end] == "Xanadu")
