@@ -3,8 +3,8 @@
 1. Base. Patterns find the protected entities: e-mail addresses, IP numbers, payment cards and telephone numbers. All
    digit-based kinds lie in runs of digits and a few signs, so a text is scanned once for these runs.
 2. Co-occurrence. A mention of an entity c gives the distinct terms within `window` words around it. Mentions with
-   equal surroundings (copies) count once. n(c), n(c, t) are numbers of mentions, n(t) and N numbers of words, all over
-   the whole corpus.
+   equal surroundings (copies) count once, and so do equal texts. n(c), n(c, t) are numbers of mentions, n(t) and N
+   numbers of words, all over the whole corpus.
 3. Disclosure. A term t gives away PMI(c, t) = log(n(c, t) N / (n(c) n(t))) of the information IC(c) = log(N / n(c))
    of the entity; disclosure is their quotient, 1 for a term that stands nowhere but beside c. Every term that stands
    beside `min_support` mentions counts.
@@ -258,6 +258,15 @@ def _place_batch(rows: list[tuple[int, int, int, list]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], kind)], names=["row_key", "entity", "term", "places"])
 
 
+def _distinct_texts(texts: DataFrame) -> DataFrame:
+    """texts(text) without repetitions; only texts that are repeated are shuffled."""
+    keyed = texts.select(F.xxhash64("text").alias("key"), "text")
+    copied = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "copied-texts")
+    mark = F.broadcast(copied) if copied.count() <= BROADCAST_DOCUMENTS else copied
+    one_each = keyed.join(mark, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return keyed.join(mark, "key", "left_anti").select("text").union(one_each.select("text"))
+
+
 def disclosing_terms(mentions: DataFrame, texts: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, threshold: float = GENERALISE, table_bits: int = TABLE_BITS) -> DataFrame:
     """mentions(entity, around, terms), texts(text) -> (entity, term, disclosure) from the threshold on."""
     distinct = staged(mentions.groupBy("entity", "around").agg(F.first("terms").alias("terms")), "mentions")
@@ -265,7 +274,7 @@ def disclosing_terms(mentions: DataFrame, texts: DataFrame, window: int = WINDOW
     pairs = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_support)
     pairs = staged(pairs.join(often, "entity"), "pairs")
     table = _bit_table(F.col("term"), pairs, table_bits)
-    counts = texts.mapInArrow(_word_counts(table_bits, table), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    counts = _distinct_texts(texts).mapInArrow(_word_counts(table_bits, table), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     counts = staged(counts, "word-counts")
     total = counts.where("term is null").agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0]
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))

@@ -136,3 +136,12 @@ def test_terms_beside_a_small_share_of_the_mentions(spark, monkeypatch, few):
     got = {r.doc_id: r for r in P.protected_spans(spark.createDataFrame(rows + others, SCHEMA)).collect()}
     assert all([rows[k][1][t.start : t.end] for t in got[k].terms].count("Xanadu") == (k < 10) for k in range(100))
     assert all(t.disclosure == 1.0 for t in got[3].terms if rows[3][1][t.start : t.end] == "Xanadu")
+
+
+def test_copies_change_nothing(spark):
+    rows, others = hot_corpus()
+    once = spark.createDataFrame(rows + others, SCHEMA)
+    copied = once.where("doc_id < 10").join(spark.range(1000).select("id"), how="cross").selectExpr("doc_id + 10000 * (id + 1) AS doc_id", "text")
+    spans = lambda docs: {r.doc_id: r.terms for r in P.protected_spans(docs).where("doc_id < 10000").collect()}
+    want = spans(once)
+    assert sum(len(t) for t in want.values()) >= 10 and spans(once.union(copied)) == want
