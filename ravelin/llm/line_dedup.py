@@ -38,7 +38,7 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
     """docs without its hosts' boilerplate lines; with counts also the columns __lines and __dropped.
 
     Lines are what \\n separates; lines without a visible character are kept. Null and empty texts stay as they are, but
-    count as pages; a null host is a host of its own. Rows repeated in docs are pages of their own. Empty tables stay
+    count as pages; a null host and the host '' are one. Rows repeated in docs are pages of their own. Empty tables stay
     empty. All columns are returned under their own names; n_chars, if there, is the new text's length.
     """
     found = staged(boilerplate(docs, text_col, host_col, ratio, min_pages, min_copies), "boilerplate")

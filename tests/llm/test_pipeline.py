@@ -54,3 +54,9 @@ def test_stages(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     tables(spark, tmp_path, [], [], [])
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_lines_of_small_hosts(spark, tmp_path):
+    rows = [(k, f"Menu of six\npage {k}", "en", "six", 1) for k in range(6)] + [(10 + k, f"Menu of four\npage {k}", "en", "four", 1) for k in range(4)]
+    got = {r.doc_id: r.text for r in P.lines(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert got == {k: f"page {k}" for k in range(6)} | {10 + k: f"Menu of four\npage {k}" for k in range(4)}
