@@ -489,6 +489,13 @@ def lsm_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.allocate(lsm.new_pool(spark), files)
 
 
+@_by("lsm_allocate_all", "WITH f AS (SELECT p_partkey AS file, CAST(p_partkey % 4 AS INT) AS channel, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS n FROM part) SELECT file, (n - 1) // 512 * 2048 + channel * 512 + (n - 1) % 512 AS lbn FROM f")
+def lsm_allocate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of part, in a pool with room for it."""
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("file"), (F.col("p_partkey") % 4).cast("int").alias("channel"))
+    return lsm.allocate(lsm.pool_for(spark, files), files)
+
+
 @query()
 def cache_tree_plru(t):
     hits = folds.ordered_fold(accesses(t), "set", ["event_id"], lambda: folds.TreePlru(4), ["user_id"], "hit long")

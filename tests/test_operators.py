@@ -148,3 +148,16 @@ def test_tree_plru_of_two_ways_is_lru():
 def test_tree_plru_keeps_what_fits():
     plru = folds.TreePlru(8)
     assert sum(plru(x)[0] for x in [*range(8)] * 5) == 32
+
+
+@pytest.mark.parametrize("rows", [16, lsm.RANK_ROWS])
+def test_allocation_of_many_files(spark, monkeypatch, rows):
+    rank = lsm.channel_rank
+    monkeypatch.setattr(lsm, "channel_rank", lambda df, order: rank(df, order, rows))
+    keys = random.Random(2).sample(range(10**6), 6000)
+    files = spark.createDataFrame([(k, k % 4) for k in keys], "file long, channel int")
+    want = {}
+    for c in range(4):
+        for n, k in enumerate(sorted(x for x in keys if x % 4 == c)):
+            want[k] = n // 512 * 2048 + c * 512 + n % 512
+    assert {r.file: r.lbn for r in lsm.allocate(lsm.pool_for(spark, files), files).collect()} == want
