@@ -398,14 +398,14 @@ def stream_periodic_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that the watermark has passed; the last one stays open."""
     from ravelin.streaming import jobs
 
-    events = jobs.file_stream(spark, f"{sf_dir}/events.parquet").withColumn("cents", cents("value"))
+    events = jobs.ordered_stream(spark, f"{sf_dir}/events.parquet", "ts").withColumn("cents", cents("value"))
     return jobs.drained(jobs.periodic_dump(events, "ts", "cents", "1 hour", "0 seconds"), "dump")
 
 
 def stream_cache_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.streaming import jobs
 
-    events = jobs.file_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", (F.col("user_id") % 16).alias("set"))
+    events = jobs.ordered_stream(spark, f"{sf_dir}/events.parquet", "event_id").select("event_id", "user_id", (F.col("user_id") % 16).alias("set"))
     return jobs.drained(jobs.direct_mapped_hits(events, "set", "user_id", "event_id"), "cache").groupBy("set").agg(F.sum("accesses").alias("accesses"), F.sum("hits").alias("hits"))
 
 

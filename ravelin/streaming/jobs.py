@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +30,25 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path if os.path.splitext(path)[1] != ".parquet" else path + "*")
 
 
+def ordered_stream(spark: SparkSession, path: str, order: str) -> DataFrame:
+    """The rows under a path as a stream in order of a column: a copy in the shared folder, a range of the column in each file.
+
+    The file source takes files by modification time, so the copies' times are set in order of their ranges; the folder's
+    file system has to keep them.
+    """
+    folder = f"{stream_folder(spark)}/in-order"
+    spark.read.parquet(path).repartitionByRange(order).sortWithinPartitions(order).write.parquet(folder)
+    files = [r[0] for r in spark.read.parquet(folder).groupBy("_metadata.file_path").agg(F.min(order).alias("least")).orderBy(F.col("least").asc_nulls_first()).collect()]
+    now, jvm = int(time.time() * 1000), spark._jvm
+    for k, name in enumerate(files):
+        file, at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)), now - 10 * (len(files) - k)
+        fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.setTimes(file, at, -1)
+        if fs.getFileStatus(file).getModificationTime() != at:
+            raise RuntimeError(f"the file system of {folder} doesn't keep modification times, so the order of events is lost")
+    return file_stream(spark, folder)
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """The rows of an append stream, written once and read again."""
     spark = stream.sparkSession

@@ -161,3 +161,32 @@ def test_allocation_of_many_files(spark, monkeypatch, rows):
         for n, k in enumerate(sorted(x for x in keys if x % 4 == c)):
             want[k] = n // 512 * 2048 + c * 512 + n % 512
     assert {r.file: r.lbn for r in lsm.allocate(lsm.pool_for(spark, files), files).collect()} == want
+
+
+def test_streams_of_many_unordered_files(spark, tmp_path):
+    from ravelin.plans.catalogue import QUERIES
+
+    rng = random.Random(11)
+    rows = [(k, rng.randrange(40), 1_700_000_000 + 300 * k, 1.5) for k in range(600)]
+    parts = [rows[at : at + 30] for at in range(0, 600, 30)]
+    rng.shuffle(parts)
+    for part in parts:  # 20 files, written out of order
+        part = spark.createDataFrame(part, "event_id long, user_id long, s long, value double").selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts", "value")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "12")  # more files than a micro-batch takes
+        hours = {r.dump: (r.n, r.total) for r in QUERIES["stream_periodic_dump"](spark, str(tmp_path)).collect()}
+        cache = {r.set: (r.accesses, r.hits) for r in QUERIES["stream_cache_sim"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, last = {}, rows[-1][2]
+    for _, _, s, _ in rows:
+        n, total = want.get(s // 3600 * 3_600_000_000, (0, 0))
+        want[s // 3600 * 3_600_000_000] = (n + 1, total + 150)
+    assert hours == {h: x for h, x in want.items() if h + 3_600_000_000 <= last * 1_000_000}
+    for c in range(16):
+        users = [u for _, u, _, _ in rows if u % 16 == c]
+        assert cache[c] == (len(users), sum(a == b for a, b in zip(users, users[1:])))
