@@ -39,17 +39,25 @@ def dependency_edges(df: DataFrame, seq: str, deps: str, window: int) -> DataFra
     return edges.join(df.select(F.col(seq).alias("dep")).distinct(), "dep", "left_semi").select(seq, "dep", (F.col(seq) - F.col("dep")).alias("distance"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int, staged: Staged) -> DataFrame:
-    """edges(a, b, w >= 0), sources(source) -> (source, node, cost) of paths of fewer than 2 ** rounds edges from each source.
+def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None, staged: Staged) -> DataFrame:
+    """edges(a, b, w >= 0), sources(source) -> (source, node, cost) of paths of fewer than 2 ** rounds edges from each source; None: of any number.
 
     Each round joins the paths with the edges of twice as many steps; `staged` writes what a round gives, so that lineage
     stays short.
     """
     hops = staged(edges.groupBy("a", "b").agg(F.min("w").alias("w")))
     reach = staged(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost")))
-    for _ in range(rounds):
+    size = lambda: tuple(reach.agg(F.count("*"), F.sum(F.col("cost").cast("decimal(38,0)"))).first())
+    before, done = None if rounds is not None else size(), 0
+    while rounds is None or done < rounds:
+        done += 1
         further = reach.join(hops, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).cast("long").alias("cost"))
         reach = staged(reach.unionByName(further).groupBy("source", "node").agg(F.min("cost").alias("cost")))
+        if rounds is None:
+            after = size()
+            if after == before:  # paths only get more or cheaper
+                break
+            before = after
         left, right = hops.select(F.col("a"), F.col("b").alias("m"), "w"), hops.select(F.col("a").alias("m"), F.col("b"), F.col("w").alias("w2"))
         hops = staged(hops.unionByName(left.join(right, "m").select("a", "b", (F.col("w") + F.col("w2")).cast("long").alias("w"))).groupBy("a", "b").agg(F.min("w").alias("w")))
     return reach

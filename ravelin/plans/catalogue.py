@@ -480,7 +480,7 @@ def topology_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     suppliers, nations = spark.read.parquet(f"{sf_dir}/supplier.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
     edges = suppliers.select(F.col("s_nationkey").cast("long").alias("a"), ((F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 25).cast("long").alias("b"), (F.col("s_suppkey") % 9 + 1).cast("long").alias("w"))
-    return sets.shortest_paths(edges, nations.select(F.col("n_nationkey").cast("long").alias("source")), 4, staged)
+    return sets.shortest_paths(edges, nations.select(F.col("n_nationkey").cast("long").alias("source")), None, staged)
 
 
 @_by("lsm_allocate", "WITH f AS (SELECT p_partkey AS file, CAST(p_partkey % 4 AS INT) AS channel, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS n FROM part WHERE p_partkey <= 100) SELECT file, channel * 512 + n - 1 AS lbn FROM f")

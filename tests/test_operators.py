@@ -190,3 +190,16 @@ def test_streams_of_many_unordered_files(spark, tmp_path):
     for c in range(16):
         users = [u for _, u, _, _ in rows if u % 16 == c]
         assert cache[c] == (len(users), sum(a == b for a, b in zip(users, users[1:])))
+
+
+def test_shortest_paths_of_many_edges(spark, tmp_path):
+    count = iter(range(100))
+
+    def staged(df):
+        path = f"{tmp_path}/{next(count)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    edges = spark.createDataFrame([(k, k + 1, 1) for k in range(24)] + [(0, 24, 90)], "a long, b long, w long")
+    got = sets.shortest_paths(edges, spark.createDataFrame([(0,)], "source long"), None, staged)
+    assert {r.node: r.cost for r in got.collect()} == {k: k for k in range(25)}
