@@ -29,6 +29,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstaged(*dfs: DataFrame) -> None:
+    """Deletes what staged() wrote for these, once nothing that is still to run reads it."""
+    for df in dfs:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A key for joins that is never null: equal rows, and only those, share it (up to 64-bit hash collisions)."""
     return F.xxhash64(F.lit(7), F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))

@@ -25,10 +25,18 @@ def brute(texts, span):
     return out
 
 
+def brute_words(texts, span):
+    data = [(t or "").encode().split() for t in texts]
+    windows = lambda d: [tuple(d[i : i + span]) for i in range(len(d) - span + 1)]
+    seen = Counter(w for d in data for w in windows(d))
+    return [len({k for i, w in enumerate(windows(d)) if seen[w] > 1 for k in range(i, i + span)}) for d in data]
+
+
 def same(spark, texts, **options):
     rows = [(i, t) for i, t in enumerate(texts)]
     got = {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), **options).collect()}
-    assert [got[i] for i in range(len(texts))] == brute(texts, options.get("span", S.SPAN))
+    assert [got[i][:4] for i in range(len(texts))] == brute(texts, options.get("span", S.SPAN))
+    assert [got[i][4] for i in range(len(texts))] == brute_words(texts, options.get("words", (S.PASSAGE,))[0])
 
 
 def small_texts():
@@ -44,7 +52,35 @@ def small_texts():
 
 @pytest.mark.parametrize("limit", [20_000, 3])
 def test_against_brute_force(spark, limit):
-    same(spark, small_texts(), span=24, anchor=8, group_limit=limit)
+    rng = random.Random(5)
+    some = [" ".join(rng.choices(["a", "bc", "d", "efg"], k=rng.randint(0, 25))) for _ in range(25)]
+    same(spark, [*small_texts(), *some, *(f" {t[3:]}\t\n x" for t in some[:12])], span=24, anchor=8, group_limit=limit, words=(6, 2))
+
+
+@pytest.mark.parametrize("limit", [20_000, 3])
+def test_groups_have_all_occurrences(spark, limit):
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdef ", k=700))
+    texts = list(dict.fromkeys(t for t in small_texts() if t)) + ["1" + long + "2", "3" + long, long + "4", "5" + long[::-1][:300] + "6", "8" + long[::-1][100:400]]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    key = {r.row_key: r.text.encode() for r in docs.select("text", S.row_key("doc_id", "text").alias("row_key")).collect()}
+    groups = {}
+    for r in S.repeat_groups(docs, span=24, anchor=8, group_limit=limit).collect():
+        groups.setdefault((r.repeat_id, r.n), set()).add((r.row_key, r.lo, r.hi))
+    covered = {k: bytearray(len(t)) for k, t in key.items()}
+    strings = set()
+    for (_, n), places in groups.items():
+        held = {key[k][lo:hi] for k, lo, hi in places}
+        assert len(held) == 1 and len(places) == n > 1
+        (word,) = held
+        assert len(word) >= 24
+        strings.add(word)
+        assert places == {(k, i, i + len(word)) for k, t in key.items() for i in range(len(t) - len(word) + 1) if t[i : i + len(word)] == word}
+        for k, lo, hi in places:
+            covered[k][lo:hi] = b"\1" * (hi - lo)
+    gone = {t: n for t, (_, n, _, _) in zip(texts, brute(texts, 24), strict=True)}
+    assert all(sum(covered[k]) == gone[t.decode()] for k, t in key.items())
+    assert limit == 3 or long.encode() in strings  # over many anchors
 
 
 def test_production_parameters(spark, monkeypatch):
