@@ -271,7 +271,7 @@ def repeats_of_group(lefts: list[bytes], rights: list[bytes], span: int, unit: i
                 stack.append((depth, members, []))
 
 
-FOUND = "unit int, string long, context long, before int, after int, copies long, row_key long, pos int, left int, right int, repeat_id long"
+FOUND = "unit int, string long, context long, before int, after int, copies long, row_key long, pos int, left int, right int, shift int, repeat_id long"  # shift: what is told lies so far before the anchor
 
 
 def _trees(spans: dict[int, int], complete: bool):
@@ -304,7 +304,7 @@ def _found_batches(rows: list[tuple], spans: dict[int, int], complete: bool, siz
 def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     i32, i64 = pa.int32(), pa.int64()
-    kinds = (i32, i64, i64, i32, i32, i64, i64, i32, i32, i32)
+    kinds = (i32, i64, i64, i32, i32, i64, i64, i32, i32, i32, i32)
     names = [f.split()[0] for f in FOUND.split(", ")]
     return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=False)), _signed(list(columns[-1]))], names=names)
 
@@ -322,7 +322,7 @@ def _group(rows: list[tuple], spans: dict[int, int], complete: bool) -> Iterator
             if complete or copies == 1:  # the others are covered whole
                 if repeat is None:
                     repeat = xxhash.xxh3_64_intdigest(left[len(left) - a * unit :] + right[: d * unit])
-                yield unit, string, context, len(left) // unit, len(right) // unit, copies, key, pos, a, d, repeat
+                yield unit, string, context, len(left) // unit, len(right) // unit, copies, key, pos, a, d, 0, repeat
 
 
 def _windows(spans: dict[int, int]):
@@ -368,7 +368,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, kinds: list[Kind], gro
     spread = pieces.where("many").dropDuplicates(["string", "context", "row_key", "pos"]).mapInArrow(_windows(spans), WINDOWS)
     often = spread.groupBy("unit", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("unit", "window")
     of_unit = reduce(lambda a, b: F.when(F.col("unit") == b[0], b[1]).otherwise(a), spans.items(), F.lit(0))
-    hot = spread.join(often, ["unit", "window"]).withColumn("right", of_unit - F.col("left")).withColumn("repeat_id", F.xxhash64("window"))
+    hot = spread.join(often, ["unit", "window"]).withColumn("right", of_unit - F.col("left")).withColumn("shift", F.col("left")).withColumn("repeat_id", F.xxhash64("window"))
     if not complete:
         hot = hot.where("copies = 1")
     names = [f.split()[0] for f in FOUND.split(", ")]
@@ -410,7 +410,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept, _, found = _repeats(rows, "id", "text", [(BYTES, span, anchor)], group_limit, complete=True)
     alone, with_copies = found.where("copies = 1"), found.where("copies > 1").drop("row_key", "pos", "copies")
     expanded = with_copies.join(kept.where("not one_context").select(*OWN, "row_key", "pos"), OWN)
-    parts = [kept.where("one_context").select(*_span("before", "after", "context"), "pos"), *(x.select(*_span("left", "right", "repeat_id"), "pos") for x in (alone, expanded))]
+    parts = [kept.where("one_context").select(*_span("before", "after", "context"), "pos"), *(x.select(*_span("left", "right", "repeat_id"), (F.col("pos") - F.col("shift")).alias("pos")) for x in (alone, expanded))]
     spans = reduce(DataFrame.unionByName, parts).groupBy("repeat_id", "row_key", "lo", "hi").agg(F.min("pos").alias("pos"))
     return _joined_over_anchors(staged(spans, "spans"))
 
@@ -431,7 +431,7 @@ def _joined_over_anchors(spans: DataFrame) -> DataFrame:
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a document in order of place -> one row for each chain of repeats. Holds the chains that are open only."""
     document: int | None = None
-    waiting: dict[tuple[int, int], list] = {}  # (repeat that comes, its lo) -> [ids and steps so far, lo of the first]
+    waiting: dict[tuple[int, int], tuple[bytes, int]] = {}  # (repeat that comes, its lo) -> (ids and steps so far, lo of the first)
     for b in batches:
         out: list[tuple[int, int, int, int]] = []
         for key, lo, hi, repeat, following, step in zip(*(b.column(n).to_pylist() for n in ("row_key", "lo", "hi", "repeat_id", "next", "step")), strict=True):
@@ -443,7 +443,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole = repeat if len(path) == 8 else xxhash.xxh3_64_intdigest(path) - (1 << 63)
                 out.append((whole, key, first, hi))
             else:
-                waiting[(following, lo + step)] = (path + struct.pack("<q", step), first)
+                other = waiting.get((following, lo + step))
+                if other is None or other[1] > first:
+                    waiting[(following, lo + step)] = (path + struct.pack("<q", step), first)
         columns = list(zip(*out, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["repeat_id", "row_key", "lo", "hi"])
 
