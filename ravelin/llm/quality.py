@@ -51,7 +51,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def with_signals(df: DataFrame, text: Column) -> DataFrame:
-    """df with the struct `__q`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, capitals."""
+    """df with the struct `__q`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, capitals. To be staged before it is used in conditions, which would each compute it anew."""
 
     def of(t: Column) -> Column:
         words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -63,8 +63,7 @@ def with_signals(df: DataFrame, text: Column) -> DataFrame:
         values = lambda x: {"n_words": x["w"]["words"], "word_chars": x["visible"], "n_symbols": x["n"] - x["plain"], "n_dup_lines": x["l"]["repeats"], "n_repeat_words": x["w"]["repeats"], "n_lines": x["l"]["lines"], "capitals": x["n"] - x["small"]}
         return _let(whole, lambda x: F.struct(*(v.cast("long").alias(k) for k, v in values(x).items())))
 
-    # rand() is never below 0; it keeps the optimiser from computing the struct anew in each condition above it
-    return df.withColumn("__q", F.when(F.rand(0) >= 0, _let(F.coalesce(text, F.lit("")), of)))
+    return df.withColumn("__q", _let(F.coalesce(text, F.lit("")), of))
 
 
 def base_failed(q: Column) -> Column:
@@ -134,8 +133,14 @@ def labels_of(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return usable.groupBy(F.col(id_col).alias("__id")).agg((F.min(F.col(label_col).cast("int")) == 1).alias("good"))
 
 
+def trials(known: DataFrame) -> DataFrame:
+    """known(stratum, good, q, text_key) with one row for each text of a stratum: copies are no further trials. A text is good if all its labels are."""
+    return known.groupBy("stratum", "text_key").agg(F.min("good").alias("good"), F.first("q").alias("q")).drop("text_key")
+
+
 def cutoffs_for(known: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Cutoffs from known(stratum, good, q), of which those that fail the base rules don't count. Written to the shared folder: a few rows."""
+    """Cutoffs from known(stratum, good, q, text_key), of which those that fail the base rules don't count. Written to the shared folder: a few rows."""
+    known = trials(known)
     return staged(choose_cutoffs(known.where(~base_failed(F.col("q"))), risk, delta), "cutoffs")
 
 
@@ -147,19 +152,23 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     A null text has no words and fails the base rules, as an empty one. A null stratum is a stratum of its own. Null ids
-    and labels don't count for cutoffs; an id labelled twice is good only if always. Repeated rows are judged alike. Empty
+    and labels don't count for cutoffs; an id or a text labelled twice is good only if always, and copies of a text are
+    one trial of the binomial test, which needs independent ones. Repeated rows are judged alike. Empty
     tables work: without labels only the base rules reject. Other columns are ignored.
     """
     given = docs.select(F.col(id_col).alias(id_col), stratum_of(docs, stratum_col).alias("__lang"), F.col(text_col).alias("__given"))
-    signals = staged(with_signals(given, F.col("__given")).drop("__given"), "signals")
-    known = signals.join(labels_of(labels, id_col, label_col), F.col(id_col) == F.col("__id")).select(F.col("__lang").alias("stratum"), "good", F.col("__q").alias("q"))
+    signals = staged(with_signals(given, F.col("__given")).withColumn("__text_key", F.xxhash64("__given")).drop("__given"), "signals")
+    known = signals.join(labels_of(labels, id_col, label_col), F.col(id_col) == F.col("__id")).select(F.col("__lang").alias("stratum"), "good", F.col("__q").alias("q"), F.col("__text_key").alias("text_key"))
     chosen = cutoffs_for(known, risk, delta)
     return judged(signals, chosen, F.col("__lang")).select(id_col, *(F.col(f"__q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that judge_quality keeps, with all their columns."""
-    stratum = stratum_of(docs, stratum_col)
-    measured = staged(with_signals(docs, F.col(text_col)), "measured")  # once with its text, so that nothing is measured or shuffled again
-    known = measured.select(F.col(id_col).alias("__own"), stratum.alias("stratum"), F.col("__q").alias("q")).join(labels_of(labels, id_col, label_col), F.col("__own") == F.col("__id")).select("stratum", "good", "q")
-    return judged(measured, cutoffs_for(known, risk, delta), stratum).where("__kept").select(*docs.columns)
+    """The rows of docs that judge_quality keeps, with all their columns, whatever they are called."""
+    own = docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(own))))  # no name can clash with those made here
+    at = lambda name: f"c{own.index(name)}"
+    measured = staged(with_signals(docs, F.col(at(text_col))).withColumn("__text_key", F.xxhash64(at(text_col))), "measured")  # once with its text, so that nothing is measured or shuffled again
+    stratum = F.coalesce(F.col(at(stratum_col)).cast("string"), F.lit("")) if stratum_col in own else F.lit("")
+    known = measured.select(F.col(at(id_col)).alias("__own"), stratum.alias("stratum"), F.col("__q").alias("q"), F.col("__text_key").alias("text_key")).join(labels_of(labels, id_col, label_col), F.col("__own") == F.col("__id")).select("stratum", "good", "q", "text_key")
+    return judged(measured, cutoffs_for(known, risk, delta), stratum).where("__kept").select(*(F.col(c).alias(n) for c, n in zip(docs.columns, own, strict=True)))

@@ -103,3 +103,29 @@ def test_filter_keeps_columns_and_empty_tables_work(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in judged.collect())
     assert Q.judge_quality(docs.limit(0), marks).count() == 0
     assert Q.filter_quality(docs, marks.limit(0)).count() == sum(not fails(measured(t)) for _, t, _ in rows)
+
+
+def test_copies_are_no_trials(spark):
+    """Forty good texts prove nothing about the share of good texts that a cutoff rejects, however often they are copied."""
+    rng = random.Random(1)
+    prose = lambda mark: " ".join("".join(rng.choices("abcdefg", k=5)) + mark for _ in range(60))
+    good, bad = [prose("") for _ in range(40)], [prose("#%") for _ in range(20)]
+    once = [(k, t, "en") for k, t in enumerate(good + bad)]
+    copies = [(100 + k, good[k % 40], "en") for k in range(4000)]
+    marks = spark.createDataFrame([(d, int(d < 40 or d >= 100)) for d, *_ in once + copies], "doc_id long, quality int")
+    kept = {r.doc_id for r in Q.judge_quality(spark.createDataFrame(once + copies, SCHEMA), marks).where("kept").collect()}
+    assert set(range(60)) <= kept
+    many = [(5000 + k, prose(""), "en") for k in range(3000)]
+    marks = marks.union(spark.createDataFrame([(d, 1) for d, *_ in many], "doc_id long, quality int"))
+    kept = {r.doc_id for r in Q.judge_quality(spark.createDataFrame(once + many, SCHEMA), marks).where("kept").collect()}
+    assert set(range(40)) <= kept and not kept & set(range(40, 60))
+
+
+def test_filter_with_clashing_names(spark):
+    rows, labels = corpus()
+    names = ["__q", "__kept", "__limits", "__stratum", "__text_key", "c0"]
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    kept = Q.filter_quality(docs, marks)
+    assert kept.columns == docs.columns and kept.first()["__limits"] == 2
+    assert kept.count() == Q.filter_quality(docs.drop(*names), marks).count()
