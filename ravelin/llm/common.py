@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,19 @@ def unstaged(*dfs: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def bit_words(rows: DataFrame, slot: Column, *by: str) -> pa.Table:
+    """(by.., word_no, word) of the bits at the slots, 64 to a word: packed on the executors, 16 bytes for each word with a bit."""
+    words = rows.select(*by, slot.alias("slot")).groupBy(*by, F.expr("slot div 64").alias("word_no")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("word"))
+    return words.toArrow()
+
+
+def bit_table(words: pa.Table, bits: int) -> bytes:
+    """A table of 2 ** bits bits."""
+    table = np.zeros(1 << (bits - 6), "<i8")
+    table[words.column("word_no").to_numpy()] = words.column("word").to_numpy()
+    return table.tobytes()
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A key for joins that is never null: equal rows, and only those, share it (up to 64-bit hash collisions)."""
     return F.xxhash64(F.lit(7), F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))

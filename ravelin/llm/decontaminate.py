@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import row_key, utf8
+from ravelin.llm.common import bit_table, bit_words, row_key, utf8
 
 SPAN, K = 10, 5
 TABLE_BITS = 24  # of the bit table: 2 MB, whatever the benchmark holds
@@ -167,14 +168,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item_type = items.schema["item"].dataType.simpleString()
     windows = items.mapInArrow(_item_windows(span), f"item {item_type}, window binary, size int").distinct()
     slots = items.mapInArrow(_item_slots(span, k, table_bits), "size int, slot long").distinct()
-    packed = slots.groupBy("size", F.expr("slot div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("bits"))
-    tables: dict[int, bytearray] = {}
-    for r in packed.collect():  # 2 ** (table_bits - 3) bytes for each of at most `span` sizes
-        tables.setdefault(r["size"], bytearray(1 << (table_bits - 3)))[r.byte] = r.bits
+    words = bit_words(slots, F.col("slot"), "size")  # twice 2 ** (table_bits - 3) bytes at most, for each of at most `span` sizes
+    tables = {n: bit_table(words.filter(pc.field("size") == n), table_bits) for n in words.column("size").unique().to_pylist()}
     given = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), utf8(text_col).alias("text"))
     id_type = given.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, row_key long, n_words long, found array<struct<at:int,size:int,window:binary>>"
-    per_doc = given.mapInArrow(_candidates(span, k, table_bits, {n: bytes(t) for n, t in tables.items()}), schema)
+    per_doc = given.mapInArrow(_candidates(span, k, table_bits, tables), schema)
     each = per_doc.select("id", "row_key", "n_words", F.explode_outer("found").alias("f")).select("id", "row_key", "n_words", "f.*")
     counts = each.groupBy("id", "row_key", "n_words", "at", "size", "window").agg(F.count("*").alias("copies"))
     # no candidate: a key of its own, so that these rows don't meet in one task

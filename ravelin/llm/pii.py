@@ -2,13 +2,14 @@
 
 1. Base. Patterns find the protected entities: e-mail addresses, IP numbers, payment cards and telephone numbers. All
    digit-based kinds lie in runs of digits and a few signs, so a text is scanned once for these runs.
-2. Co-occurrence. A mention of an entity c gives the distinct terms within `window` words around it. Mentions with
-   equal surroundings (copies) count once, and so do equal texts. n(c), n(c, t) are numbers of mentions, n(t) and N
-   numbers of words, all over the whole corpus.
-3. Disclosure. A term t gives away PMI(c, t) = log(n(c, t) N / (n(c) n(t))) of the information IC(c) = log(N / n(c))
-   of the entity; disclosure is their quotient, 1 for a term that stands nowhere but beside c. Every term that stands
-   beside `min_support` mentions counts.
-4. Sanitising. In documents that mention c, its terms are generalised from GENERALISE on and removed from REMOVE on.
+2. Co-occurrence. A mention of an entity gives the distinct terms within `window` words around it. It counts for the
+   entity c itself and for its classes c: its kind, and its domain (e-mail) or leading digits (others), so that entities
+   mentioned once say something together. Mentions with equal surroundings (copies) count once, and so do equal texts.
+   n(c), n(c, t) are numbers of mentions, n(t) and N numbers of words, all over the whole corpus.
+3. Disclosure. With P(c) = n(c) / N and the smoothed P(c | t) = (n(c, t) + `smooth` P(c)) / (n(t) + `smooth`) a term t
+   gives away PMI(c, t) = log(P(c | t) / P(c)) of the information IC(c) = -log P(c); disclosure is their quotient, near
+   1 for a term that often stands beside c and nowhere else. Every term beside `min_support` mentions of c counts.
+4. Sanitising. In documents that mention c (an entity, or one of the class), its terms are generalised from GENERALISE on and removed from REMOVE on.
 
 Only terms that stand beside entities are counted over the corpus: their hashes are looked up in a bit table of fixed
 size, so no vocabulary is shuffled or broadcast. An entity can have any number of terms: they are rows, and a document
@@ -28,10 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import row_key, staged
+from ravelin.llm.common import bit_table, bit_words, row_key, staged
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MIN_SUPPORT = 8, 3
+SMOOTH = 1.0
+PREFIX = {"ip": 2, "card": 6, "phone": 4}  # the class of an IP number: its first parts; of others: their first digits
 MIN_SHARE = 0.0  # no share of the mentions is asked for
 GENERALISE, REMOVE = 0.75, 0.9
 TABLE_BITS = 24  # of a bit table: 2 MB
@@ -109,12 +112,26 @@ def entity_of(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}") - (1 << 63)
 
 
+def classes_of(kind: str, value: str) -> list[str]:
+    """Its kind, and a class within."""
+    if kind == "email":
+        return [kind, f"{kind}:@{value.lower().partition('@')[2]}"]
+    if kind == "ip":
+        return [kind, f"{kind}:{'.'.join(value.split('.')[: PREFIX[kind]])}.*"]
+    return [kind, f"{kind}:{''.join(filter(str.isdigit, value))[: PREFIX[kind]]}*"]
+
+
+def entities_of(kind: str, value: str) -> list[int]:
+    """The numbers of an entity and of its classes."""
+    return [entity_of(kind, value), *(xxhash.xxh3_64_intdigest(f"class:{c}") - (1 << 63) for c in classes_of(kind, value))]
+
+
 def term_of(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower()) - (1 << 63)
 
 
-def surroundings(text: str, spans: list[Span], window: int) -> Iterator[tuple[int, list[int]]]:
-    """(entity, distinct terms around it) of each mention; words inside any entity are no terms.
+def surroundings(text: str, spans: list[Span], window: int) -> Iterator[tuple[list[int], list[int]]]:
+    """(entity and its classes, distinct terms around it) of each mention; words inside any entity are no terms.
 
     A text is cut into words only around its entities, as far out as `window` words can reach in ordinary prose, and
     wider where they don't.
@@ -129,7 +146,7 @@ def surroundings(text: str, spans: list[Span], window: int) -> Iterator[tuple[in
     for kind, a, b in spans:
         before = _nearest(text, a, window, free, -1)
         after = _nearest(text, b, window, free, 1)
-        yield entity_of(kind, text[a:b]), sorted({term_of(w) for w in (*before, *after)})
+        yield entities_of(kind, text[a:b]), sorted({term_of(w) for w in (*before, *after)})
 
 
 def _running_max(values: Iterator[int]) -> Iterator[int]:
@@ -152,13 +169,13 @@ def _nearest(text: str, at: int, window: int, free, side: int) -> list[str]:
 
 def _base_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mention = pa.struct([("entity", pa.int64()), ("around", pa.int64()), ("terms", pa.list_(pa.int64()))])
+        mention = pa.struct([("entities", pa.list_(pa.int64())), ("around", pa.int64()), ("terms", pa.list_(pa.int64()))])
         for b in batches:
             spans, mentions = [], []
             for text in b.column("text").to_pylist():
                 got = base_spans(text)
                 spans.append([{"kind": k, "start": x, "end": y} for k, x, y in got])
-                mentions.append([{"entity": e, "around": xxhash.xxh3_64_intdigest(np.array(t, np.int64).tobytes()) - (1 << 63), "terms": t} for e, t in surroundings(text, got, window)] if got else [])
+                mentions.append([{"entities": e, "around": xxhash.xxh3_64_intdigest(np.array(t, np.int64).tobytes()) - (1 << 63), "terms": t} for e, t in surroundings(text, got, window)] if got else [])
             kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row_key"), pa.array(spans, kinds), pa.array(mentions, pa.list_(mention))], names=["id", "row_key", "spans", "mentions"])
 
@@ -166,7 +183,7 @@ def _base_rows(window: int):
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
-MENTIONS = "array<struct<entity:bigint,around:bigint,terms:array<bigint>>>"
+MENTIONS = "array<struct<entities:array<bigint>,around:bigint,terms:array<bigint>>>"
 
 
 def _word_counts(bits: int, table: bytes):
@@ -207,11 +224,7 @@ def _word_counts(bits: int, table: bytes):
 
 def _bit_table(hashes: Column, rows: DataFrame, bits: int = TABLE_BITS) -> bytes:
     """A bit for each hash, at its upper bits."""
-    slot = F.shiftrightunsigned(hashes.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
-    table = bytearray(1 << (bits - 3))
-    for r in rows.select(slot.alias("slot")).groupBy(F.expr("slot div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("bits")).collect():  # 2 ** (bits - 3) rows at most
-        table[r.byte] = r.bits
-    return bytes(table)
+    return bit_table(bit_words(rows, F.shiftrightunsigned(hashes.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)), bits)
 
 
 def _in_table(table: np.ndarray, hashes: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
@@ -243,7 +256,7 @@ def _term_places(term_table: bytes, pair_table: bytes):
                 words = words[_in_table(terms, words)] if len(words) else words
                 if not len(words):
                     continue
-                for e in sorted({entity_of(k, text[x:y]) for k, x, y in spans}):
+                for e in sorted({e for k, x, y in spans for e in entities_of(k, text[x:y])}):
                     rows += [(key, e, w, places[w]) for w in words[_in_table(pairs, words ^ np.int64(e))].tolist()]
                     if len(rows) > 100_000:
                         yield _place_batch(rows)
@@ -267,18 +280,19 @@ def _distinct_texts(texts: DataFrame) -> DataFrame:
     return keyed.join(mark, "key", "left_anti").select("text").union(one_each.select("text"))
 
 
-def disclosing_terms(mentions: DataFrame, texts: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, threshold: float = GENERALISE, table_bits: int = TABLE_BITS) -> DataFrame:
+def disclosing_terms(mentions: DataFrame, texts: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, threshold: float = GENERALISE, table_bits: int = TABLE_BITS, smooth: float = SMOOTH) -> DataFrame:
     """mentions(entity, around, terms), texts(text) -> (entity, term, disclosure) from the threshold on."""
     distinct = staged(mentions.groupBy("entity", "around").agg(F.first("terms").alias("terms")), "mentions")
     often = distinct.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_support)
     pairs = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_support)
-    pairs = staged(pairs.join(often, "entity"), "pairs")
+    pairs = staged(staged(pairs, "supported").join(staged(often, "entities"), "entity"), "pairs")  # from files: Spark can split a hot class
     table = _bit_table(F.col("term"), pairs, table_bits)
     counts = _distinct_texts(texts).mapInArrow(_word_counts(table_bits, table), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     counts = staged(counts, "word-counts")
     total = counts.where("term is null").agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0]
-    ic = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))
-    pmi = F.log(F.col("n_ct") * F.lit(float(max(total, 1))) / (F.col("n_c") * F.greatest("n_t", "n_ct")))
+    p = F.col("n_c") / F.lit(float(max(total, 1)))
+    ic = -F.log(p)
+    pmi = F.log((F.col("n_ct") + smooth * p) / ((F.greatest("n_t", "n_ct") + smooth) * p))
     return pairs.join(counts, "term").withColumn("disclosure", F.when(ic > 0, F.least(F.lit(1.0), pmi / ic)).otherwise(0.0)).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
@@ -291,11 +305,11 @@ def protected_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = given.schema["id"].dataType.simpleString()
     base = staged(given.mapInArrow(_base_rows(window), f"id {kind}, row_key long, spans {SPANS}, mentions {MENTIONS}"), "base-spans")
-    mentions = base.select(F.explode("mentions").alias("m")).select("m.entity", "m.around", "m.terms")
+    mentions = base.select(F.explode("mentions").alias("m")).select(F.explode("m.entities").alias("entity"), "m.around", "m.terms")
     found = staged(disclosing_terms(mentions, given.select("text"), window, min_support, threshold), "disclosing")
     entities = found.select("entity").distinct()
     few = found.count() <= BROADCAST_PAIRS
-    mentioned = base.where(F.size("mentions") > 0).select("row_key", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
+    mentioned = base.where(F.size("mentions") > 0).select("row_key", F.explode(F.array_distinct(F.flatten(F.transform("mentions", lambda m: m["entities"])))).alias("entity"))
     wanted = staged(mentioned.join(F.broadcast(entities) if few else entities, "entity", "left_semi").select("row_key").distinct(), "wanted")
     given = given.select("row_key", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCUMENTS else wanted, "row_key", "left_semi")
     tables = _bit_table(F.col("term"), found), _bit_table(F.col("entity").bitwiseXOR(F.col("term")), found)
