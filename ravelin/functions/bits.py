@@ -69,17 +69,3 @@ def chunks(start: Column, size: Column, chunk: int) -> Column:
 def link_delay(size: Column, payload: int, overhead: int, picoseconds_per_byte: int) -> Column:
     """Time of a transfer that is cut into packets of `payload` bytes, each with `overhead` bytes more."""
     return (size + div_ceil(size, payload) * overhead) * picoseconds_per_byte
-
-
-def flash_page_type(page: Column, bits_per_cell: int) -> Column:
-    """Which bit of its cells a page holds (0: least significant, read fastest), for 1, 2 or 3 bits a cell."""
-    if bits_per_cell == 1:
-        return F.lit(0).cast("long")
-    if bits_per_cell == 2:
-        return (page % 2).cast("long")
-    return F.when(page <= 5, 0).when(page <= 7, 1).otherwise(F.shiftrightunsigned(page - 8, 1) % 3).cast("long")
-
-
-def pages_latency(size: Column, page_size: int, latency: int) -> Column:
-    """Time of as many pages as `size` bytes need; 0 for none."""
-    return F.when(size > 0, div_ceil(size, page_size) * latency).otherwise(0).cast("long")

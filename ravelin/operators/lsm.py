@@ -1,17 +1,11 @@
-"""A catalog of sorted files on blocks, kept as DataFrames: mapping(file, lbn) and pool(lbn, channel, status)."""
+"""A catalog of sorted files on blocks, kept as a DataFrame: mapping(file, lbn)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FREE, USED = "free", "used"
-BLOCKS, CHANNELS, CHANNEL_SHIFT = 2048, 4, 9
-RANK_ROWS, RANK_BOUNDS = 65_536, 1000  # rows of a block while ranking; blocks at most
-
-
-def new_pool(spark: SparkSession, blocks: int = BLOCKS) -> DataFrame:
-    return spark.range(blocks).select(F.col("id").alias("lbn"), (F.shiftrightunsigned("id", CHANNEL_SHIFT) % CHANNELS).cast("int").alias("channel"), F.lit(FREE).alias("status"))
+CHANNELS = 4
 
 
 def insert(mapping: DataFrame, new: DataFrame) -> DataFrame:
@@ -30,40 +24,6 @@ def lookup(mapping: DataFrame, files: DataFrame) -> DataFrame:
     return files.select("file").distinct().join(mapping, "file")
 
 
-def pool_of(pool: DataFrame, mapping: DataFrame) -> DataFrame:
-    """The pool with the status that the mapping gives."""
-    used = mapping.select("lbn").distinct().withColumn("__used", F.lit(True))
-    return pool.drop("status").join(used, "lbn", "left").select("lbn", "channel", F.when(F.col("__used"), USED).otherwise(FREE).alias("status"))
-
-
-def pool_for(spark: SparkSession, wanted: DataFrame) -> DataFrame:
-    """A new pool with room for wanted(file, channel) in every channel."""
-    most = wanted.groupBy("channel").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    return new_pool(spark, -(-most // (1 << CHANNEL_SHIFT)) * CHANNELS << CHANNEL_SHIFT)
-
-
-def channel_rank(df: DataFrame, order: str, rows: int = RANK_ROWS) -> DataFrame:
-    """df with the row number n of each channel: counts of blocks of the order key first, then numbers inside the blocks."""
-    every = max(1, rows // 16)
-    sample = [r[0] for r in df.where(F.pmod(F.xxhash64(order), F.lit(every)) == 0).select(order).distinct().orderBy(order).collect() if r[0] is not None]
-    step = max(16 if every > 1 else 1, -(-len(sample) // RANK_BOUNDS))
-    bounds = F.array(*map(F.lit, sample[::step])) if sample else F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>")
-    marked = df.withColumn("__block", F.size(F.filter(bounds, lambda b: b <= F.col(order))))
-    before = Window.partitionBy("channel").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = marked.groupBy("channel", "__block").agg(F.count("*").alias("__n"))
-    totals = totals.select(F.col("channel").alias("__channel"), F.col("__block").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("channel", "__block").orderBy(order))
-    ranked = marked.withColumn("n", inside).join(F.broadcast(totals), F.col("channel").eqNullSafe(F.col("__channel")) & (F.col("__block") == F.col("__of")))
-    return ranked.withColumn("n", F.col("__before") + F.col("n")).drop("__block", "__channel", "__of", "__before")
-
-
-def allocate(pool: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(file, channel) -> (file, lbn): the free blocks of each channel in increasing order; null where none is left."""
-    free = channel_rank(pool.where(F.col("status") == FREE), "lbn").select("channel", "n", "lbn")
-    asked = channel_rank(wanted, "file")
-    return asked.join(free, ["channel", "n"], "left").select("file", "lbn")
-
-
 def round_robin(files: DataFrame, channels: int = CHANNELS, first: int = 0) -> DataFrame:
     """files(file, seq from 0) -> (file, channel): each file on the channel after the one before."""
     return files.select("file", ((F.col("seq") + first) % channels).cast("int").alias("channel"))

@@ -1,56 +1,69 @@
 """Joins on ranges, neighbours and prefixes, as equi-joins on buckets, and a leveled catalog of key ranges.
 
-A range stands in each bucket of the key space it touches; a point in one, and a pair of ranges is reported in the bucket
-of its first common key only. Ranges of more than `wide` buckets are few by nature (they hold much of the key space);
-they meet the other side in coarser buckets, each 64 times as wide as those before, so a row is never in more than `wide` + 1.
+A range stands in the buckets of the key space it touches, WIDE at most: buckets come in LEVELS widths, each COARSER times
+the one before, and a range takes the finest it fits in. A point meets it in one bucket of each width that ranges really
+take, which is counted first: points never go to a width that no range is in. Coarse buckets hold many points, so they are
+split into SALT parts by the point's hash, and a range stands in each part; ranges beyond all widths have such parts only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.bits import div
 
-COARSER, LEVELS, WIDE = 64, 6, 64
+COARSER, LEVELS, WIDE, SALT = 64, 6, 64, 16
+MAX_GROUPS = 4096
 
 
 def _widths(width: int) -> list[int]:
     return [width * COARSER**k for k in range(LEVELS)]
 
 
-def _range_buckets(lo: Column, hi: Column, width: int) -> Column:
-    """(level, bucket) pairs of a range: at the finest level where it touches WIDE buckets at most."""
-
-    def at(level: int) -> Callable[[Column], Column]:
-        return lambda bucket: F.struct(F.lit(level).alias("level"), bucket.alias("bucket"))
-
-    out = F.array(at(LEVELS)(F.lit(0).cast("long")))
+def _level_of(lo: Column, hi: Column, width: int) -> Column:
+    """The finest level at which a range touches WIDE buckets at most; LEVELS for wider ones."""
+    out = F.lit(LEVELS)
     for k, w in reversed(list(enumerate(_widths(width)))):
-        first, last = div(lo, w), div(hi, w)
-        out = F.when(last - first < WIDE, F.transform(F.sequence(first, last), at(k))).otherwise(out)
+        out = F.when(div(hi, w) - div(lo, w) < WIDE, F.lit(k)).otherwise(out)
     return out
 
 
-def _point_buckets(key: Column, width: int) -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("level"), div(key, w).alias("bucket")) for k, w in enumerate(_widths(width))), F.struct(F.lit(LEVELS).alias("level"), F.lit(0).cast("long").alias("bucket")))
+def _bucket(key: Column, level: Column, width: int) -> Column:
+    return F.coalesce(*(F.when(level == k, div(key, w)) for k, w in enumerate(_widths(width))), F.lit(0).cast("long"))
+
+
+def _salt(key: Column, level: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int") if level else F.lit(0)
 
 
-def point_in_range(points: DataFrame, ranges: DataFrame, key: str, lo: str, hi: str, width: int = 1024) -> DataFrame:
-    """points joined with each range [lo, hi] that holds the key (>= 0)."""
-    p = points.withColumn("__b", F.explode(_point_buckets(F.col(key).cast("long"), width)))
-    r = ranges.where(F.col(lo) <= F.col(hi)).withColumn("__b", F.explode(_range_buckets(F.col(lo).cast("long"), F.col(hi).cast("long"), width)))
-    return p.join(r, "__b").where(F.col(key).between(F.col(lo), F.col(hi))).drop("__b")
+def bucketed_points(points: DataFrame, key: str, levels: list[int], width: int) -> DataFrame:
+    """points with the struct __b(level, bucket, salt), once for each level."""
+    k = F.col(key).cast("long")
+    at = lambda n: F.struct(F.lit(n).alias("level"), _bucket(k, F.lit(n), width).alias("bucket"), _salt(k, n).alias("salt"))
+    return points.withColumn("__b", F.explode(F.array(*map(at, levels))) if len(levels) > 1 else at(levels[0]))
 
 
-def overlaps(left: DataFrame, right: DataFrame, lo: tuple[str, str], hi: tuple[str, str], width: int = 1024) -> DataFrame:
-    """Pairs of ranges with a common key: the later start lies in the other range, so two point searches find each pair once."""
+def point_in_range(points: DataFrame, ranges: DataFrame, key: str, lo: str, hi: str, width: int = 1024, on: dict[str, str] | None = None) -> DataFrame:
+    """points joined with each range [lo, hi] that holds the key (>= 0); `on` names columns of both that must be equal, too."""
+    first, last = F.col(lo).cast("long"), F.col(hi).cast("long")
+    r = ranges.where(F.col(lo) <= F.col(hi)).withColumn("__level", _level_of(first, last, width))
+    taken = [row[0] for row in r.select("__level").distinct().orderBy("__level").collect()]  # LEVELS + 1 rows at most
+    p = bucketed_points(points, key, taken or [0], width)
+    r = r.withColumn("__bucket", F.explode(F.sequence(_bucket(first, F.col("__level"), width), _bucket(last, F.col("__level"), width))))
+    r = r.withColumn("__salt", F.explode(F.when(F.col("__level") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALT - 1)))))
+    same = (F.col("__b.level") == F.col("__level")) & (F.col("__b.bucket") == F.col("__bucket")) & (F.col("__b.salt") == F.col("__salt"))
+    for a, b in (on or {}).items():
+        same = same & (F.col(a) == F.col(b))
+    return p.join(r, same & F.col(key).between(F.col(lo), F.col(hi))).drop("__b", "__level", "__bucket", "__salt")
+
+
+def overlaps(left: DataFrame, right: DataFrame, lo: tuple[str, str], hi: tuple[str, str], width: int = 1024, on: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs of ranges with a common key: the later start lies in the other range, so two point searches find each pair once. `on`: columns that must be equal."""
     a = left.where(F.col(lo[0]) <= F.col(hi[0]))
     b = right.where(F.col(lo[1]) <= F.col(hi[1]))
-    inside = point_in_range(b, a, lo[1], lo[0], hi[0], width)
-    outside = point_in_range(a, b, lo[0], lo[1], hi[1], width).where(F.col(lo[0]) > F.col(lo[1]))
+    inside = point_in_range(b, a, lo[1], lo[0], hi[0], width, {on[1]: on[0]} if on else None)
+    outside = point_in_range(a, b, lo[0], lo[1], hi[1], width, {on[0]: on[1]} if on else None).where(F.col(lo[0]) > F.col(lo[1]))
     return inside.unionByName(outside)
 
 
@@ -70,9 +83,9 @@ def shortest_prefix(keys: DataFrame, prefixes: DataFrame, key: str, prefix: str,
     return found.groupBy(*keys.columns).agg(F.min_by("__v", F.when(F.col("__v").isNotNull(), F.length("__p"))).alias(value))
 
 
-def remap(df: DataFrame, addr: str, ranges: DataFrame) -> DataFrame:
+def remap(df: DataFrame, addr: str, ranges: DataFrame, width: int = 1024) -> DataFrame:
     """df with `mapped`: ranges(rank, lo, hi, to) move an address to `to`; the range of least rank wins; others stay."""
-    hit = point_in_range(df.select(addr).distinct(), ranges, addr, "lo", "hi").groupBy(addr).agg(F.min_by(F.col(addr) - F.col("lo") + F.col("to"), "rank").alias("__to"))
+    hit = point_in_range(df.select(addr).distinct(), ranges, addr, "lo", "hi", width).groupBy(addr).agg(F.min_by(F.col(addr) - F.col("lo") + F.col("to"), "rank").alias("__to"))
     return df.join(hit, addr, "left").withColumn("mapped", F.coalesce("__to", addr)).drop("__to")
 
 
@@ -80,24 +93,58 @@ def level_links(catalog: DataFrame, width: int = 1024) -> DataFrame:
     """(parent, child): catalog(file, level, lo, hi) ranges that overlap and lie on neighbouring levels."""
     a = catalog.select(F.col("file").alias("parent"), F.col("level").alias("pl"), F.col("lo").alias("plo"), F.col("hi").alias("phi"))
     b = catalog.select(F.col("file").alias("child"), F.col("level").alias("cl"), F.col("lo").alias("clo"), F.col("hi").alias("chi"))
-    return overlaps(a, b, ("plo", "clo"), ("phi", "chi"), width).where("cl = pl + 1").select("parent", "child")
-
-
-def related_channels(catalog: DataFrame, width: int = 1024) -> DataFrame:
-    """(file, channel, n): per channel the ranges of other levels that overlap a file's, and its neighbours on its own level."""
-    a = catalog.select("file", "level", "lo", "hi")
-    b = catalog.select(F.col("file").alias("other"), F.col("level").alias("ol"), F.col("channel"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    across = overlaps(a, b, ("lo", "olo"), ("hi", "ohi"), width).where("level <> ol").select("file", "channel")
+    a = a.withColumn("below", F.col("pl") + 1)
+    return overlaps(a, b, ("plo", "clo"), ("phi", "chi"), width, ("below", "cl")).select("parent", "child")
+
+
+def starts_between(points: DataFrame, at: str, among: DataFrame, key: str, by: list[str], block: int = 4096) -> DataFrame:
+    """points(.., at) x the groups `by` of among -> rows (points.., by.., n): how many keys of each group are <= at.
+
+    Ranks instead of pairs: keys are counted by group, block of the key and key; a point adds the blocks before its own
+    (a running sum with a row for each block) and the keys before it in its own block.
+    """
+    counted = among.groupBy(*by, F.col(key).cast("long").alias("__key")).agg(F.count("*").alias("__n")).withColumn("__block", div(F.col("__key"), block))
+    inside = Window.partitionBy(*by, "__block").orderBy("__key")
+    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counted.groupBy(*by, "__block").agg(F.sum("__n").alias("__s")).withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
+    ranks = counted.withColumn("__in", F.sum("__n").over(inside)).join(blocks, [*by, "__block"]).select(*by, "__key", (F.col("__before") + F.col("__in")).alias("__rank"))
+    # each group's points and keys in one order, cut to blocks: the last rank at or before a point
+    groups = among.select(*by).distinct().limit(MAX_GROUPS + 1).collect()
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups of {by}")
+    kinds = [among.schema[c].dataType for c in by]
+    each = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(by, g, kinds, strict=True))) for g in groups))
+    asked = points.select(F.col(at).cast("long").alias("__key")).distinct()
+    asked = asked.withColumn("__g", F.explode(each)).select("__key", "__g.*") if groups else asked.join(among.select(*by).limit(0))
+    both = asked.withColumn("__rank", F.lit(None).cast("long")).withColumn("__ask", F.lit(1)).unionByName(ranks.withColumn("__ask", F.lit(0)))
+    both = both.withColumn("__block", div(F.col("__key"), block))
+    last = both.withColumn("n", F.max("__rank").over(Window.partitionBy(*by, "__block").orderBy("__key", "__ask").rowsBetween(Window.unboundedPreceding, 0)))
+    tops = both.groupBy(*by, "__block").agg(F.max("__rank").alias("__top")).withColumn("__top", F.max("__top").over(before)).select(*by, "__block", "__top")
+    told = last.where("__ask = 1").join(tops, [*by, "__block"], "left").select(*by, F.col("__key").alias("__at"), F.coalesce("n", "__top", F.lit(0)).alias("n"))
+    return points.join(told, F.col(at).cast("long") == F.col("__at")).drop("__at")
+
+
+def related_channels(catalog: DataFrame) -> DataFrame:
+    """(file, channel, n): per channel the ranges of other levels that overlap a file's, and its neighbours on its own level.
+
+    Ranges that overlap [lo, hi] are those that start at hi or before, less those that end before lo: two ranks for each
+    channel and level, no pairs. Channels and levels are few, which bounds the rows of a file.
+    """
+    files = catalog.where(F.col("lo") <= F.col("hi"))
+    started = starts_between(files.select("file", F.col("level").alias("own"), F.col("hi").alias("at")), "at", files, "lo", ["channel", "level"])
+    ended = starts_between(files.select("file", F.col("level").alias("own"), (F.col("lo") - 1).alias("at")), "at", files, "hi", ["channel", "level"])
+    signed = started.select("file", "own", "channel", "level", "n").unionByName(ended.select("file", "own", "channel", "level", (-F.col("n")).alias("n")))
+    across = signed.where("own <> level").groupBy("file", "channel").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("level").orderBy("lo", "hi", "file")
     both = catalog.select("file", F.array(F.lag("channel").over(w), F.lead("channel").over(w)).alias("both"))
-    beside = both.select("file", F.explode("both").alias("channel")).where("channel is not null")
-    return across.unionByName(beside).groupBy("file", "channel").agg(F.count("*").alias("n"))
+    beside = both.select("file", F.explode("both").alias("channel")).where("channel is not null").groupBy("file", "channel").agg(F.count("*").alias("n"))
+    return across.unionByName(beside).groupBy("file", "channel").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def place(catalog: DataFrame, channels: int, width: int = 1024) -> DataFrame:
+def place(catalog: DataFrame, channels: int) -> DataFrame:
     """(file, channel): the channel with fewest related ranges, of several the first."""
     grid = catalog.select("file", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))).alias("channel"))
-    counted = grid.join(related_channels(catalog, width).withColumn("channel", F.col("channel").cast("int")), ["file", "channel"], "left")
+    counted = grid.join(related_channels(catalog).withColumn("channel", F.col("channel").cast("int")), ["file", "channel"], "left")
     return counted.groupBy("file").agg(F.min_by("channel", F.struct(F.coalesce("n", F.lit(0)), "channel")).alias("channel"))
 
 

@@ -106,3 +106,12 @@ def activity(df: DataFrame, by: list[str], second: Column, length: int) -> DataF
 def replay(df: DataFrame, by: list[str], order: list[str], delay: Column, at: str = "at") -> DataFrame:
     """Times of an elastic replay: each row comes `delay` after the one before."""
     return df.select(*by, *order, F.sum(delay).over(Window.partitionBy(*by).orderBy(*order)).alias(at))
+
+
+def stride_runs(df: DataFrame, by: str, at: str) -> DataFrame:
+    """(by, at, stride, times): the step from the access before (0 at the first) and how often it has come in a row."""
+    w = Window.partitionBy(by).orderBy(at)
+    steps = df.select(by, at, F.coalesce(F.col(at) - F.lag(at).over(w), F.lit(0)).alias("stride"))
+    fresh = steps.withColumn("__new", F.when(F.col("stride") == F.lag("stride").over(w), 0).otherwise(1))
+    runs = fresh.withColumn("__run", F.sum("__new").over(w))
+    return runs.withColumn("times", F.row_number().over(Window.partitionBy(by, "__run").orderBy(at)).cast("long")).drop("__new", "__run")

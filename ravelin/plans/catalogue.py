@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions import bits
-from ravelin.operators import folds, lsm, ranges, sets, stats, trace
+from ravelin.operators import ranges, reuse, sets, stats, trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,19 +141,37 @@ d AS (SELECT a."set", a.event_id, CASE WHEN a.prev IS NULL THEN NULL ELSE (SELEC
 
 @query(f"{REUSE} SELECT * FROM d")
 def trace_reuse_distance(t):
-    return folds.reuse_distance(accesses(t), "user_id", ["event_id"], "set")
+    return reuse.reuse_distance(accesses(t), "user_id", "event_id", "set")
 
 
 @query(f"{REUSE} SELECT CASE WHEN distance IS NULL THEN -1 WHEN distance = 0 THEN 1 ELSE length(bin(distance)) - 1 END AS bin, count(*) AS n FROM d GROUP BY 1")
 def trace_reuse_hist(t):
-    d = folds.reuse_distance(accesses(t), "user_id", ["event_id"], "set")
+    d = reuse.reuse_distance(accesses(t), "user_id", "event_id", "set")
     return d.groupBy(F.when(F.col("distance").isNull(), -1).when(F.col("distance") == 0, 1).otherwise(bits.floor_log2(F.col("distance"))).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query(f"{REUSE} SELECT \"set\", count(*) AS accesses, count(*) FILTER (distance < 4) AS hits FROM d GROUP BY 1")
 def trace_lru_hits(t):
-    hits = folds.cache_hits(accesses(t), "user_id", ["event_id"], "set", "lru", 4)
-    return hits.groupBy("set").agg(F.count("*").alias("accesses"), F.sum("hit").alias("hits"))
+    """An access hits where fewer than 4 other keys of its set came since the last one to its key."""
+    d = reuse.reuse_distance(accesses(t), "user_id", "event_id", "set")
+    return d.groupBy("set").agg(F.count("*").alias("accesses"), F.count_if(F.col("distance") < 4).alias("hits"))
+
+
+@query('WITH e AS (SELECT user_id % 16 AS queue, event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT a.queue, a.event_id, (SELECT count(DISTINCT q.user_id) FROM e q WHERE q.queue = a.queue AND q.event_id < a.event_id AND q.event_id > coalesce(a.prev, -1)) AS since FROM e a')
+def queue_lrg(t):
+    """How many others came since a key's last turn; at its first one all that were there."""
+    rows = t("events").select((F.col("user_id") % 16).alias("queue"), "event_id", "user_id")
+    return reuse.reuse_distance(rows, "user_id", "event_id", "queue", first=True).withColumnRenamed("distance", "since")
+
+
+STRIDES = """WITH s AS (SELECT user_id, event_id, coalesce(event_id - lag(event_id) OVER w, 0) AS stride FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT *, CASE WHEN stride = lag(stride) OVER w THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c)"""
+
+
+@query(f"{STRIDES} SELECT user_id, event_id, stride, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS times FROM r")
+def trace_stride_runs(t):
+    return trace.stride_runs(t("events"), "user_id", "event_id")
 
 
 @query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -230,7 +248,7 @@ def sliding_activity(t):
 @query(f"WITH c AS ({CATALOG}) SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n, min(level) AS first_level FROM lineitem JOIN c ON l_partkey BETWEEN lo AND hi GROUP BY ALL")
 def range_point_lookup(t):
     points = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    keys = ranges.point_in_range(points.select("l_partkey").distinct(), catalog(t), "l_partkey", "lo", "hi").groupBy("l_partkey").agg(F.count("*").alias("__n"), F.min("level").alias("first_level"))
+    keys = ranges.point_in_range(points.select("l_partkey").distinct(), catalog(t), "l_partkey", "lo", "hi", 64).groupBy("l_partkey").agg(F.count("*").alias("__n"), F.min("level").alias("first_level"))
     return points.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count("*").alias("__r")).join(keys, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("__n") * F.col("__r")).alias("n"), "first_level")
 
 
@@ -252,12 +270,12 @@ n AS (SELECT file, channel, count(*) AS n FROM r WHERE channel IS NOT NULL GROUP
 
 @query(f"{RELATED} SELECT * FROM n")
 def lsm_related_channels(t):
-    return ranges.related_channels(catalog(t), 32)
+    return ranges.related_channels(catalog(t))
 
 
 @query(f"{RELATED} SELECT file, CAST(arg_min(ch, (n, ch)) AS INT) AS channel FROM (SELECT c.file, g.ch, coalesce(n.n, 0) AS n FROM c CROSS JOIN (SELECT unnest(range(4)) AS ch) g LEFT JOIN n ON n.file = c.file AND n.channel = g.ch) GROUP BY 1")
 def lsm_placement(t):
-    return ranges.place(catalog(t), 4, 32)
+    return ranges.place(catalog(t), 4)
 
 
 @query("SELECT l_partkey, max(l_orderkey) AS seq FROM lineitem GROUP BY 1 HAVING arg_max(l_returnflag, (l_orderkey, l_returnflag)) <> 'R'")
@@ -295,7 +313,7 @@ def prefix_lookup(t):
 @query("WITH r AS (SELECT p_partkey AS rank, p_partkey * 3 AS lo, p_partkey * 3 + 4 AS hi, p_partkey * 1000 AS \"to\" FROM part WHERE p_size > 25), a AS (SELECT DISTINCT l_orderkey AS addr FROM lineitem) SELECT addr, coalesce((SELECT arg_min(addr - lo + \"to\", rank) FROM r WHERE addr BETWEEN lo AND hi), addr) AS mapped FROM a")
 def range_remap_first_match(t):
     rules = t("part").where("p_size > 25").select(F.col("p_partkey").alias("rank"), (F.col("p_partkey") * 3).alias("lo"), (F.col("p_partkey") * 3 + 4).alias("hi"), (F.col("p_partkey") * 1000).alias("to"))
-    return ranges.remap(t("lineitem").select(F.col("l_orderkey").alias("addr")).distinct(), "addr", rules)
+    return ranges.remap(t("lineitem").select(F.col("l_orderkey").alias("addr")).distinct(), "addr", rules, 64)
 
 
 @query("WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey AS a, CAST(l_quantity AS BIGINT) AS s FROM lineitem WHERE l_quantity >= 1), k AS (SELECT *, unnest(range(a // 16, (a + s - 1) // 16 + 1)) AS k FROM r) SELECT l_orderkey, l_linenumber, greatest(a, k * 16) AS \"start\", least(a + s, (k + 1) * 16) - greatest(a, k * 16) AS size FROM k")
@@ -368,30 +386,8 @@ def prefetch_next_line(t):
     return t("events").select("user_id", "event_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("d")).select("user_id", "event_id", (F.col("event_id") + F.col("d")).alias("prefetch"))
 
 
-@query()
-def prefetch_stride(t):
-    return folds.ordered_fold(t("events"), "user_id", ["event_id"], folds.Stride, ["event_id"], "stride long, confidence long, prefetch long")
 
 
-@query()
-def predict_local2bit(t):
-    rows = t("events").withColumn("taken", F.col("event_type") == "click")
-    return folds.ordered_fold(rows, "user_id", ["event_id"], folds.LocalPredictor, ["taken"], "predicted long, right long")
-
-
-@query()
-def cache_policy_sim(t):
-    out = None
-    for policy in folds.Cache.POLICIES:
-        one = folds.hit_summary(folds.cache_hits(accesses(t), "user_id", ["event_id"], "set", policy, 4)).select(F.lit(policy).alias("policy"), "accesses", "hits")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query()
-def qos_prop_fair(t):
-    rows = t("events").select((F.col("event_id") % 8).alias("queue"), "event_id", "user_id", "value")
-    return folds.ordered_fold(rows, "queue", ["event_id"], folds.ProportionalFair, ["user_id", "value"], "rank long, score double")
 
 
 def stream_periodic_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,16 +398,8 @@ def stream_periodic_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drained(jobs.periodic_dump(events, "ts", "cents", "1 hour", "0 seconds"), "dump")
 
 
-def stream_cache_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ravelin.streaming import jobs
-
-    events = jobs.ordered_stream(spark, f"{sf_dir}/events.parquet", "event_id").select("event_id", "user_id", (F.col("user_id") % 16).alias("set"))
-    return jobs.drained(jobs.direct_mapped_hits(events, "set", "user_id", "event_id"), "cache").groupBy("set").agg(F.sum("accesses").alias("accesses"), F.sum("hits").alias("hits"))
-
-
-QUERIES |= {"stream_periodic_dump": stream_periodic_dump, "stream_cache_sim": stream_cache_sim}
+QUERIES |= {"stream_periodic_dump": stream_periodic_dump}
 ORACLE_SQL["stream_periodic_dump"] = f"SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS dump, count(*) AS n, CAST(sum({CENTS.format('value')}) AS BIGINT) AS total FROM events GROUP BY 1 HAVING epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) + 3600000000 <= (SELECT epoch_us(max(ts)) FROM events)"
-ORACLE_SQL["stream_cache_sim"] = 'WITH a AS (SELECT user_id % 16 AS "set", user_id, lag(user_id) OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS before FROM events) SELECT "set", count(*) AS accesses, count(*) FILTER (user_id = before) AS hits FROM a GROUP BY 1'
 
 
 def _by(name: str, sql: str | None = None):
@@ -481,34 +469,3 @@ def topology_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers, nations = spark.read.parquet(f"{sf_dir}/supplier.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
     edges = suppliers.select(F.col("s_nationkey").cast("long").alias("a"), ((F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 25).cast("long").alias("b"), (F.col("s_suppkey") % 9 + 1).cast("long").alias("w"))
     return sets.shortest_paths(edges, nations.select(F.col("n_nationkey").cast("long").alias("source")), None, staged)
-
-
-@_by("lsm_allocate", "WITH f AS (SELECT p_partkey AS file, CAST(p_partkey % 4 AS INT) AS channel, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS n FROM part WHERE p_partkey <= 100) SELECT file, channel * 512 + n - 1 AS lbn FROM f")
-def lsm_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 100").select(F.col("p_partkey").alias("file"), (F.col("p_partkey") % 4).cast("int").alias("channel"))
-    return lsm.allocate(lsm.new_pool(spark), files)
-
-
-@_by("lsm_allocate_all", "WITH f AS (SELECT p_partkey AS file, CAST(p_partkey % 4 AS INT) AS channel, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS n FROM part) SELECT file, (n - 1) // 512 * 2048 + channel * 512 + (n - 1) % 512 AS lbn FROM f")
-def lsm_allocate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of part, in a pool with room for it."""
-    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("file"), (F.col("p_partkey") % 4).cast("int").alias("channel"))
-    return lsm.allocate(lsm.pool_for(spark, files), files)
-
-
-@query()
-def cache_tree_plru(t):
-    hits = folds.ordered_fold(accesses(t), "set", ["event_id"], lambda: folds.TreePlru(4), ["user_id"], "hit long")
-    return hits.groupBy("set").agg(F.count("*").alias("accesses"), F.sum("hit").alias("hits"))
-
-
-@query('WITH e AS (SELECT user_id % 16 AS queue, event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT a.queue, a.event_id, (SELECT count(DISTINCT q.user_id) FROM e q WHERE q.queue = a.queue AND q.event_id < a.event_id AND q.event_id > coalesce(a.prev, -1)) AS since FROM e a')
-def queue_lrg(t):
-    rows = t("events").select((F.col("user_id") % 16).alias("queue"), "event_id", "user_id")
-    return folds.ordered_fold(rows, "queue", ["event_id"], folds.LeastRecentlyGranted, ["user_id"], "since long")
-
-
-@query("SELECT l_partkey, CASE WHEN l_partkey <= 5 THEN 0 WHEN l_partkey <= 7 THEN 1 ELSE ((l_partkey - 8) >> 1) % 3 END AS page_type, CAST(max((l_partkey + 511) // 512 * 25) AS BIGINT) AS latency FROM lineitem GROUP BY 1, 2")
-def flash_latency(t):
-    pages = t("lineitem").select("l_partkey").distinct()
-    return pages.select("l_partkey", bits.flash_page_type(F.col("l_partkey"), 3).alias("page_type"), bits.pages_latency(F.col("l_partkey"), 512, 25).alias("latency"))

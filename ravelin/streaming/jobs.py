@@ -7,12 +7,9 @@ import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_folder(spark: SparkSession) -> str:
@@ -61,18 +58,3 @@ def periodic_dump(events: DataFrame, ts: str, value: str, period: str, lateness:
     """(dump, n, total) per period; a period is given out once the watermark has passed its end."""
     timed = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", lateness)
     return timed.groupBy(F.window("__ts", period).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.unix_micros("w.start").alias("dump"), "n", "total")
-
-
-def direct_mapped_hits(events: DataFrame, set_col: str, line: str, order: str) -> DataFrame:
-    """(set, accesses, hits) of each micro-batch, for a cache with one line per set whose state goes on from batch to batch."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (held,) = state.get if state.exists else (None,)
-        rows = pd.concat(list(frames)).sort_values(order)  # of one micro-batch, which maxFilesPerTrigger bounds
-        before = rows[line].shift(1)
-        hits = int((rows[line] == before).sum()) + int(held is not None and len(rows) > 0 and rows[line].iloc[0] == held)
-        if len(rows):
-            state.update((int(rows[line].iloc[-1]),))
-        yield pd.DataFrame({"set": [key[0]], "accesses": [len(rows)], "hits": [hits]})
-
-    return events.groupBy(set_col).applyInPandasWithState(step, "set long, accesses long, hits long", "line long", "append", GroupStateTimeout.NoTimeout)

@@ -2,13 +2,13 @@
 
 import gzip
 import random
-from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ravelin.functions import bits
-from ravelin.operators import folds, lsm, ranges, sets, stats, trace
+from ravelin.operators import lsm, ranges, reuse, sets, stats, trace
 from ravelin.sources import packets
 
 
@@ -30,38 +30,29 @@ def test_chunks(spark):
         assert sum(s for _, s in pieces) == r.s and all(a // 16 == (a + s - 1) // 16 for a, s in pieces)
 
 
-def test_reuse_distance_and_lru(spark):
+@pytest.mark.parametrize("block", [7, 50, 65_536])
+def test_reuse_distance_over_blocks(spark, block):
     rng = random.Random(2)
-    rows = [(t, t % 3, rng.randint(0, 12)) for t in range(600)]
-    df = spark.createDataFrame(rows, "t long, s long, line long")
-    stacks, want, hits = {}, {}, {}
+    rows = [(t * 3 + 1, t % 3, rng.randint(0, 12) if rng.random() < 0.9 else rng.randint(13, 400)) for t in range(900)]
+    stacks, want, since = {}, {}, {}
     for t, s, line in rows:
         stack = stacks.setdefault(s, [])
         want[t] = stack.index(line) if line in stack else None
-        hits[t] = int(line in stack[:4])
+        since[t] = stack.index(line) if line in stack else len(stack)
         if line in stack:
             stack.remove(line)
         stack.insert(0, line)
-    assert {r.t: r.distance for r in folds.reuse_distance(df, "line", ["t"], "s").collect()} == want
-    assert {r.t: r.hit for r in folds.cache_hits(df, "line", ["t"], "s", "lru", 4).collect()} == hits
-
-
-def test_fifo_ignores_touches():
-    cache, held = folds.Cache("fifo", 3), deque(maxlen=3)
-    for line in random.Random(3).choices(range(6), k=400):
-        hit = line in held
-        if not hit:
-            held.append(line)
-        assert cache(line) == (int(hit),)
+    df = spark.createDataFrame(rows, "t long, s long, line long")
+    assert {r.t: r.distance for r in reuse.reuse_distance(df, "line", "t", "s", block=block).collect()} == want
+    assert {r.t: r.distance for r in reuse.reuse_distance(df, "line", "t", "s", first=True, block=block).collect()} == since
+    assert reuse.reuse_distance(df.limit(0), "line", "t", "s").count() == 0
 
 
-@pytest.mark.parametrize("policy", folds.Cache.POLICIES)
-def test_policies_hold_their_ways(policy):
-    cache = folds.Cache(policy, 4)
-    seen = [cache(x)[0] for x in random.Random(4).choices(range(9), k=500)]
-    assert len(cache.lines) == 4 and 0 < sum(seen) < 500
-    small = folds.Cache(policy, 16)
-    assert sum(small(x)[0] for x in [*range(9)] * 5) == 36
+def test_earlier_above():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 65, 1000):
+        v, m = rng.integers(0, 50, n), rng.integers(0, 50, n)
+        assert reuse.earlier_above(v, m).tolist() == [int((v[:k] > m[k]).sum()) for k in range(n)]
 
 
 def test_running_sum_over_blocks(spark):
@@ -82,6 +73,34 @@ def test_overlaps_of_wide_and_narrow_ranges(spark):
     assert sorted((r.i, r.j) for r in got) == sorted((i, j) for i, p, q in a for j, r, s in b if p <= s and q >= r)
 
 
+def test_points_are_spread_over_buckets(spark):
+    """Ranges of all widths: no key of the join holds more than a small share of the points."""
+    points = spark.range(0, 1_000_000, 50).select(F.col("id").alias("k"))
+    spread = ranges.bucketed_points(points, "k", list(range(ranges.LEVELS + 1)), 1024)
+    most = spread.groupBy("__b").count().agg(F.max("count")).first()[0]
+    assert most < 0.07 * points.count()
+    wide = spark.createDataFrame([(0, 5, 9), (1, 0, 1 << 62), (2, 100, 90_000), (3, 7, 3)], "i long, lo long, hi long")
+    got = ranges.point_in_range(points, wide, "k", "lo", "hi").groupBy("i").count().collect()
+    assert {r.i: r["count"] for r in got} == {1: 20_000, 2: 1799}
+
+
+def test_related_channels_by_ranks(spark):
+    rng = random.Random(7)
+    files = [(k, k % 3 + 1, k % 4, a, a + rng.choice([0, 5, 300, 20_000, -1])) for k in range(150) for a in [rng.randint(0, 30_000)]]
+    got = {(r.file, r.channel): r.n for r in ranges.related_channels(spark.createDataFrame(files, "file long, level int, channel int, lo long, hi long")).collect()}
+    want = {}
+    for f, level, _, lo, hi in files:
+        for _, other, c, olo, ohi in files:
+            if level != other and lo <= hi and olo <= ohi and lo <= ohi and hi >= olo:
+                want[f, c] = want.get((f, c), 0) + 1
+    for level in (1, 2, 3):
+        row = sorted((x for x in files if x[1] == level), key=lambda x: (x[3], x[4], x[0]))
+        for a, b in zip(row, row[1:]):
+            want[a[0], b[2]] = want.get((a[0], b[2]), 0) + 1
+            want[b[0], a[2]] = want.get((b[0], a[2]), 0) + 1
+    assert got == want
+
+
 def test_shortest_prefix(spark):
     keys = spark.createDataFrame([("abcde",), ("abx",), ("q",)], "k string")
     prefixes = spark.createDataFrame([("ab", 2), ("abcd", 4)], "p string, v int")
@@ -94,10 +113,6 @@ def test_catalog_contract(spark):
     assert {tuple(r) for r in mapping.collect()} == {("0001", 0), ("0002", 1)}
     mapping = lsm.remove(mapping, named(("0001", 0), ("none", 0)))
     assert [tuple(r) for r in lsm.lookup(mapping, named(("0001", 0), ("0002", 0))).collect()] == [("0002", 1)]
-    pool = lsm.pool_of(lsm.new_pool(spark), mapping)
-    assert pool.count() == 2048 and [r.lbn for r in pool.where("status = 'used'").collect()] == [1]
-    wanted = spark.createDataFrame([("a", 0), ("b", 0), ("c", 3)], "file string, channel int")
-    assert {r.file: r.lbn for r in lsm.allocate(pool, wanted).collect()} == {"a": 0, "b": 2, "c": 1536}
     turns = spark.createDataFrame([(f"f{k}", k) for k in range(6)], "file string, seq long")
     assert [r.channel for r in lsm.round_robin(turns).orderBy("file").collect()] == [0, 1, 2, 3, 0, 1]
 
@@ -139,30 +154,6 @@ def test_framed_records(spark, tmp_path):
     assert sorted((r.record_no, bytes(r.record)) for r in got) == sorted([(k, r) for k, r in enumerate(records)] * 2)
 
 
-def test_tree_plru_of_two_ways_is_lru():
-    lines = random.Random(6).choices(range(4), k=500)
-    plru, lru = folds.TreePlru(2), folds.Cache("lru", 2)
-    assert [plru(x) for x in lines] == [lru(x) for x in lines]
-
-
-def test_tree_plru_keeps_what_fits():
-    plru = folds.TreePlru(8)
-    assert sum(plru(x)[0] for x in [*range(8)] * 5) == 32
-
-
-@pytest.mark.parametrize("rows", [16, lsm.RANK_ROWS])
-def test_allocation_of_many_files(spark, monkeypatch, rows):
-    rank = lsm.channel_rank
-    monkeypatch.setattr(lsm, "channel_rank", lambda df, order: rank(df, order, rows))
-    keys = random.Random(2).sample(range(10**6), 6000)
-    files = spark.createDataFrame([(k, k % 4) for k in keys], "file long, channel int")
-    want = {}
-    for c in range(4):
-        for n, k in enumerate(sorted(x for x in keys if x % 4 == c)):
-            want[k] = n // 512 * 2048 + c * 512 + n % 512
-    assert {r.file: r.lbn for r in lsm.allocate(lsm.pool_for(spark, files), files).collect()} == want
-
-
 def test_streams_of_many_unordered_files(spark, tmp_path):
     from ravelin.plans.catalogue import QUERIES
 
@@ -178,7 +169,6 @@ def test_streams_of_many_unordered_files(spark, tmp_path):
         before = spark.conf.get("spark.sql.shuffle.partitions")
         spark.conf.set("spark.sql.shuffle.partitions", "12")  # more files than a micro-batch takes
         hours = {r.dump: (r.n, r.total) for r in QUERIES["stream_periodic_dump"](spark, str(tmp_path)).collect()}
-        cache = {r.set: (r.accesses, r.hits) for r in QUERIES["stream_cache_sim"](spark, str(tmp_path)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -187,9 +177,6 @@ def test_streams_of_many_unordered_files(spark, tmp_path):
         n, total = want.get(s // 3600 * 3_600_000_000, (0, 0))
         want[s // 3600 * 3_600_000_000] = (n + 1, total + 150)
     assert hours == {h: x for h, x in want.items() if h + 3_600_000_000 <= last * 1_000_000}
-    for c in range(16):
-        users = [u for _, u, _, _ in rows if u % 16 == c]
-        assert cache[c] == (len(users), sum(a == b for a, b in zip(users, users[1:])))
 
 
 def test_shortest_paths_of_many_edges(spark, tmp_path):
