@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +25,59 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What staged() writes inside is deleted at the end, but for the staged DataFrames that are given to what this yields."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_folders(df))
+        return df
+
+    _SCRATCH.append([])
+    try:
+        yield keep
+    finally:
+        names = {f.rpartition("/")[2] for f in kept}
+        _delete(spark, [p for p in _SCRATCH.pop() if p.rpartition("/")[2] not in names])
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ravelin/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(conf).delete(path, True)
+
+
 def unstaged(*dfs: DataFrame) -> None:
     """Deletes what staged() wrote for these, once nothing that is still to run reads it."""
     for df in dfs:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
-            path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, sorted(_folders(df)))
+
+
+def plain_names(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """df with columns c0, c1, .. which clash with no name made by an operator; the new name of a column; and the way back to df's columns."""
+    own = df.columns
+    plain = [f"c{k}" for k in range(len(own))]
+    back = lambda done: done.select(*(F.col(c).alias(n) for c, n in zip(plain, own, strict=True)))
+    return df.toDF(*plain), lambda name: plain[own.index(name)], back
 
 
 def bit_words(rows: DataFrame, slot: Column, *by: str) -> pa.Table:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import staged
+from ravelin.llm.common import plain_names, staged
 
 RATIO, MIN_PAGES, MIN_COPIES = 0.2, 20, 5
 BROADCAST_LINES = 200_000  # of 8 bytes each; above, hosts are joined by a shuffle
@@ -45,17 +45,19 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
     per_host = found.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__drop"))
     if found.count() <= BROADCAST_LINES:
         per_host = F.broadcast(per_host)
-    out = docs.withColumn("__host", _host(docs, host_col)).join(per_host, "__host", "left")
-    lines = F.split(F.col(text_col), NEWLINE)
+    plain, at, back = plain_names(docs)
+    out = plain.withColumn("__host", _host(plain, at(host_col))).join(per_host, "__host", "left")
+    lines = F.split(F.col(at(text_col)), NEWLINE)
     keep = lambda x: ~(_has_text(x) & F.array_contains("__drop", F.xxhash64(x)))
     kept = F.filter(lines, keep)
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, NEWLINE))
-    out = out.withColumn("__text", text)
-    columns: dict[str, Column] = {text_col: F.col("__text")}
+    out = out.withColumn("__text", F.when(F.col("__drop").isNull(), F.col(at(text_col))).otherwise(F.array_join(kept, NEWLINE)))
+    size = F.coalesce(F.size(lines), F.lit(0))
+    out = out.withColumn("__lines", F.when(F.col(at(text_col)).isNull(), 0).otherwise(size).cast("long"))
+    out = out.withColumn("__dropped", F.when(F.col("__drop").isNull() | F.col(at(text_col)).isNull(), 0).otherwise(size - F.size(kept)).cast("long"))
+    changed = {at(text_col): F.col("__text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
-    extra = []
-    if counts:
-        size = F.coalesce(F.size(lines), F.lit(0))
-        extra = [F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long").alias("__lines"), F.when(F.col("__drop").isNull() | F.col(text_col).isNull(), 0).otherwise(size - F.size(kept)).cast("long").alias("__dropped")]
-    return out.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns), *extra)
+        changed[at("n_chars")] = F.length("__text").cast(docs.schema["n_chars"].dataType)
+    out = out.select(*(changed.get(c, F.col(c)).alias(c) for c in plain.columns), "__lines", "__dropped")
+    if not counts:
+        return back(out)
+    return out.select(*(F.col(c).alias(n) for c, n in zip(plain.columns, docs.columns, strict=True)), "__lines", "__dropped")

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import staged
+from ravelin.llm.common import plain_names, staged
 
 RISK, DELTA = 0.03, 0.05
 CUTOFFS: dict[str, list[float]] = {
@@ -166,9 +166,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that judge_quality keeps, with all their columns, whatever they are called."""
     own = docs.columns
-    docs = docs.toDF(*(f"c{k}" for k in range(len(own))))  # no name can clash with those made here
-    at = lambda name: f"c{own.index(name)}"
+    docs, at, back = plain_names(docs)
     measured = staged(with_signals(docs, F.col(at(text_col))).withColumn("__text_key", F.xxhash64(at(text_col))), "measured")  # once with its text, so that nothing is measured or shuffled again
     stratum = F.coalesce(F.col(at(stratum_col)).cast("string"), F.lit("")) if stratum_col in own else F.lit("")
     known = measured.select(F.col(at(id_col)).alias("__own"), stratum.alias("stratum"), F.col("__q").alias("q"), F.col("__text_key").alias("text_key")).join(labels_of(labels, id_col, label_col), F.col("__own") == F.col("__id")).select("stratum", "good", "q", "text_key")
-    return judged(measured, cutoffs_for(known, risk, delta), stratum).where("__kept").select(*(F.col(c).alias(n) for c, n in zip(docs.columns, own, strict=True)))
+    return back(judged(measured, cutoffs_for(known, risk, delta), stratum).where("__kept"))

@@ -43,3 +43,12 @@ def test_against_brute_force(spark, monkeypatch, broadcast):
     assert sorted(map(str, (tuple(r) for r in got.select("doc_id", "text", "__lines", "__dropped").collect()))) == sorted(map(str, brute(rows, 0.25, 10, 3)))
     assert got.where("text is not null and n_chars <> length(text)").count() == 0
     assert L.drop_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    text = "same line\n"
+    docs = spark.createDataFrame([(k, f"{text}own {k}", "a") for k in range(30)], "doc_id long, text string, source string")
+    odd = docs.selectExpr("*", "1 AS __host", "2 AS __drop", "3 AS __text", "4 AS c0")
+    got = L.drop_boilerplate(odd)
+    assert got.columns == odd.columns and {tuple(r)[3:] for r in got.collect()} == {(1, 2, 3, 4)}
+    assert {r.doc_id: r.text for r in got.collect()} == {k: f"own {k}" for k in range(30)}

@@ -1,7 +1,9 @@
+import os
 import random
 from collections import defaultdict
 
 import corpus_pipeline as P
+from ravelin.llm.common import shared_dir
 from ravelin.llm.simhash import fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,3 +62,22 @@ def test_lines_of_small_hosts(spark, tmp_path):
     rows = [(k, f"Menu of six\npage {k}", "en", "six", 1) for k in range(6)] + [(10 + k, f"Menu of four\npage {k}", "en", "four", 1) for k in range(4)]
     got = {r.doc_id: r.text for r in P.lines(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
     assert got == {k: f"page {k}" for k in range(6)} | {10 + k: f"Menu of four\npage {k}" for k in range(4)}
+
+
+def test_clashing_names_and_very_long_texts(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, prose(rng, 80), "en", f"src{k % 2}", 1) for k in range(8)] + [(8, prose(rng, 60_000), "en", "src0", 1)]
+    tables(spark, tmp_path, rows, [], [])
+    path = f"{tmp_path}/documents.parquet"
+    names = ["__q", "__kept", "__host", "__text", "__key", "row_key", "bytes", "id", "c0"]
+    docs = spark.read.parquet(path).selectExpr("*", *(f"{k} AS {n}" for k, n in enumerate(names)))
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[5:] == names and {tuple(r)[5:] for r in docs.collect()} == {tuple(range(len(names)))}, name
+        assert docs.count() == 9
+    assert {r.doc_id for r in P.packing(spark, docs, str(tmp_path)).collect()} == set(range(9))
+    folder = f"{shared_dir(spark).removeprefix('file:')}/ravelin"
+    before = set(os.listdir(folder))
+    P.run(spark, str(tmp_path)).count()
+    left = set(os.listdir(folder)) - before  # what run() staged on its way is gone
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-decontamination")
