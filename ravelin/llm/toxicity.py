@@ -171,10 +171,10 @@ def fold_of(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], tuple[str, ...], np.ndarray]:
     """Lexicon weights, exceptions and logistic coefficients from labels (id, label) whose fold isn't 2.
 
-    Ids or labels that are null and ids without a document are left out; an id labelled twice counts as toxic if it is
+    Ids or labels that are null, labels other than 0 and 1 and ids without a document are left out; an id labelled twice counts as toxic if it is
     once. Without usable labels of both kinds the lexicon is empty and every score is the rate of toxic labels.
     """
-    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sample = usable.where(fold_of("id") != 2).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(10))

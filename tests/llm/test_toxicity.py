@@ -65,3 +65,43 @@ def test_odd_rows(spark):
     assert len(got) == 5 and len({r.score for r in got}) == 1
     assert T.score_documents(docs.limit(0), labels).count() == 0
     assert T.score_documents(docs, labels.limit(0)).count() == 5
+
+
+def test_labels_other_than_0_and_1_do_not_count(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.1', '0.001')}/documents.parquet")
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    right = [(d, int(d % 5 == 0)) for d in ids]
+    odd = [(d, x) for d in ids[:60] for x in (2, -1, None)]
+    schema = "doc_id long, toxic int"
+    score = lambda rows: sorted((r.doc_id, r.score) for r in T.score_documents(docs, spark.createDataFrame(rows, schema)).collect())
+    assert score(right) == score(right + odd)
+
+
+def test_whole_score_against_brute_force(spark):
+    """Training in tasks gives what plain code gives from the sample's texts; the scores are its naive features under the logistic."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(300)]
+    rows, marks = [], []
+    for k in range(500):
+        bad = k % 4 == 0
+        text = " ".join(rng.choices(words, k=30) + (["Stupendo" + rng.choice(["", "s", "us"]), "grumbly"][: 1 + k % 2] if bad else []))
+        rows.append((k, text.replace("grumbly", "gru mbly") if k % 7 == 0 else text))
+        marks.append((k, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, toxic int")
+    hashes = {r.id: (r.h, r.p) for r in labels.selectExpr("doc_id AS id", "xxhash64(doc_id) AS h", "pmod(xxhash64('part', doc_id), 10) AS p").collect()}
+    text, label = dict(rows), dict(marks)
+    used = [k for k, _ in marks if zlib.crc32(str(k).encode()) % 4 != 2]
+    first, second = [k for k in used if hashes[k][1] < 7], [k for k in used if hashes[k][1] >= 7]
+    counts = {}
+    for k in first:
+        for s in set(T.stems(text[k])):
+            counts.setdefault(s, [0, 0])[label[k]] += 1
+    toxic = sum(label[k] for k in first)
+    table = [(s, c, t) for s, (c, t) in counts.items()]
+    weights, learned = T.choose(table, len(first) - toxic, toxic)
+    exceptions = (*T.EXCEPTIONS, *learned)
+    beta = T.fit_logistic(np.array([naive(text[k], weights, exceptions) for k in second]), np.array([label[k] for k in second], float))
+    assert weights and beta[1:].max() > 0
+    for r in T.score_documents(docs, labels).collect():
+        want = 1 / (1 + np.exp(-(beta[0] + np.array(naive(text[r.doc_id], weights, exceptions)) @ beta[1:])))
+        assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= T.THRESHOLD)
