@@ -36,12 +36,16 @@ def frames(data: bytes) -> Iterator[bytes]:
     while at < len(data):
         size = shift = 0
         while True:
+            if at >= len(data):
+                raise ValueError("a record's length is cut off")
             size |= (data[at] & 127) << shift
             shift, at = shift + 7, at + 1
             if data[at - 1] < 128:
                 break
         if not size:
             return
+        if at + size > len(data):
+            raise ValueError("a record is cut off")
         yield data[at : at + size]
         at += size
 
@@ -56,3 +60,44 @@ def read_framed(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"path": name, "record_no": range(len(records)), "record": records})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, record_no long, record binary")
+
+
+# The numbers of a packet record's fields.
+PACKET = {1: "tick", 2: "cmd", 3: "addr", 4: "size", 5: "flags", 6: "pkt_id", 7: "pc"}
+
+
+def fields(record: bytes) -> dict[int, int | bytes]:
+    """Number -> value of a record's fields: integers, or the bytes of fields with a length. The last of repeated ones stays."""
+    out: dict[int, int | bytes] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (record[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if record[at - 1] < 128:
+                return value
+
+    while at < len(record):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            out[tag >> 3] = number()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or number()
+            out[tag >> 3] = record[at : at + size] if kind == 2 else int.from_bytes(record[at : at + size], "little")
+            at += size
+    return out
+
+
+def decoded_packets(framed: DataFrame) -> DataFrame:
+    """read_framed's records, but the first of each file (its header) -> (path, record_no, tick, cmd, addr, size, flags, pkt_id, pc); null where a field is missing."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            got = [fields(bytes(r)) for r in part["record"]]
+            yield pd.DataFrame({"path": part["path"], "record_no": part["record_no"]} | {name: pd.array([f.get(n) for f in got], dtype="Int64") for n, name in PACKET.items()})
+
+    return framed.where("record_no > 0").mapInPandas(run, "path string, record_no long, " + ", ".join(f"{n} long" for n in PACKET.values()))
