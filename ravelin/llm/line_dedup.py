@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.common import plain_names, staged
 
-RATIO, MIN_PAGES, MIN_COPIES = 0.2, 20, 5
+RATIO, MIN_PAGES, MIN_COPIES = 0.2, 0, 5  # MIN_COPIES alone keeps small hosts safe
 BROADCAST_LINES = 200_000  # of 8 bytes each; above, hosts are joined by a shuffle
 NEWLINE = "\n"
 

@@ -75,7 +75,7 @@ totals AS (SELECT host, count(*) AS total FROM pages GROUP BY host),
 seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM pages) GROUP BY host, line),
 boiler AS (
   SELECT host, list(line) AS dropped FROM seen JOIN totals USING (host)
-  WHERE total >= 20 AND n >= 5 AND n > 0.2 * total AND trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) <> '' GROUP BY host
+  WHERE n >= 5 AND n > 0.2 * total AND trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) <> '' GROUP BY host
 ),
 kept AS (SELECT doc_id, source, text, lines, CASE WHEN dropped IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(dropped, x)) END AS left_over FROM pages LEFT JOIN boiler USING (host))
 SELECT doc_id, source, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(left_over), 0) AS BIGINT) AS n_dropped,
