@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from ravelin.plans import records, reports  # noqa: F401  (these register their queries in the catalogue)
 from ravelin.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("RAVELIN_DATA", "/root/testdata/sf0.001")
