@@ -84,5 +84,18 @@ def compressed_sizes(df: DataFrame, words: Column) -> DataFrame:
     return df.withColumn("bits", F.least(F.coalesce(zero, raw), F.coalesce(same, raw), *(F.coalesce(with_delta(b), raw) for b in (1, 2, 4)), raw).cast("long"))
 
 
+def encodings(words: Column) -> Column:
+    """(pattern, bits) of each way to store a line of 64-bit words that fits and isn't longer: zero, repeated, a base of 8, 4 or 2 bytes with deltas of fewer, raw."""
+    raw = F.size(words) * 64
+    parts = lambda width: F.flatten(F.transform(words, lambda x: F.array(*(F.shiftrightunsigned(x, k).bitwiseAND((1 << width) - 1) for k in range(0, 64, width)))))
+    spread = lambda p: F.try_subtract(F.array_max(p), F.array_min(p))
+    ways = {"zero": F.when((F.array_max(words) == 0) & (F.array_min(words) == 0), 1), "repeated": F.when(spread(words) == 0, 64)}
+    for base, deltas in ((8, (1, 2, 4)), (4, (1, 2)), (2, (1,))):
+        p = words if base == 8 else parts(8 * base)
+        ways |= {f"base{base}_delta{d}": F.when(spread(p) < (1 << (8 * d - 1)), 8 * base + F.size(p) * 8 * d) for d in deltas}
+    every = F.array(*(F.struct(F.lit(k).alias("pattern"), v.cast("long").alias("bits")) for k, v in (ways | {"raw": raw}).items()))
+    return F.filter(every, lambda e: e["bits"] <= raw)
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ravelin.functions.bits import bit_length, div
-from ravelin.operators import trace
+from ravelin.functions.bits import bit_length, ceil_log2, div, floor_log2
+from ravelin.operators import sets, trace
 from ravelin.plans.catalogue import cents, query
 from ravelin.sources import lists
 
@@ -147,3 +147,41 @@ def record_upgrades(t):
 @query(f"SELECT n_name, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(n_name) + 1), lambda k: CAST(ord(substr(n_name, k, 1)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: xor(d >> 1, (d & 1) * {CRC}))) AS crc FROM nation")
 def crc_polynomial(t):
     return t("nation").select("n_name", lists.crc(F.col("n_name"), CRC).alias("crc"))
+
+
+def _most(width: int, pick: str) -> str:
+    """SQL for the greatest or least of a line's parts of some bits."""
+    edge = {"max": "greatest", "min": "least"}[pick]
+    return f"{edge}(" + ", ".join(f"list_{pick}(list_transform(w, lambda x: (x >> {k}) & {(1 << width) - 1}))" for k in range(0, 64, width)) + ")"
+
+
+ENCODED = f"""WITH l AS (SELECT l_orderkey, list(l_partkey * (l_linenumber % 3)) AS w FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, CAST(len(w) AS BIGINT) AS n, list_max(w) AS hi, list_max(w) - list_min(w) AS s8, {_most(32, "max")} - {_most(32, "min")} AS s4, {_most(16, "max")} - {_most(16, "min")} AS s2 FROM l),
+e AS (SELECT l_orderkey, n, 'raw' AS pattern, n * 64 AS bits FROM s UNION ALL SELECT l_orderkey, n, 'zero', 1 FROM s WHERE hi = 0 AND s8 = 0 UNION ALL SELECT l_orderkey, n, 'repeated', 64 FROM s WHERE s8 = 0
+UNION ALL SELECT l_orderkey, n, 'base8_delta1', 64 + n * 8 FROM s WHERE s8 < 128 UNION ALL SELECT l_orderkey, n, 'base8_delta2', 64 + n * 16 FROM s WHERE s8 < 32768 UNION ALL SELECT l_orderkey, n, 'base8_delta4', 64 + n * 32 FROM s WHERE s8 < 2147483648
+UNION ALL SELECT l_orderkey, n, 'base4_delta1', 32 + n * 16 FROM s WHERE s4 < 128 UNION ALL SELECT l_orderkey, n, 'base4_delta2', 32 + n * 32 FROM s WHERE s4 < 32768 UNION ALL SELECT l_orderkey, n, 'base2_delta1', 16 + n * 32 FROM s WHERE s2 < 128),
+r AS (SELECT l_orderkey, n, pattern, bits, row_number() OVER (PARTITION BY l_orderkey ORDER BY length(bin(n * 64 // bits)) DESC, bits, pattern) AS place FROM e WHERE bits <= n * 64)"""
+
+
+def _encoded(t):
+    """(l_orderkey, n, pattern, bits, place): the ways to store a line, by their factor as a power of two, then by size."""
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey") * (F.col("l_linenumber") % 3)).alias("w"))
+    ways = lines.select("l_orderkey", F.size("w").cast("long").alias("n"), F.explode(sets.encodings(F.col("w"))).alias("e")).select("l_orderkey", "n", "e.pattern", "e.bits")
+    return sets.ranked(ways, ["l_orderkey"], [floor_log2(div(F.col("n") * 64, F.col("bits"))).desc(), F.col("bits"), F.col("pattern")])
+
+
+@query(f"{ENCODED} SELECT l_orderkey, pattern, bits, place FROM r")
+def line_encoding_rank(t):
+    return _encoded(t).drop("n")
+
+
+@query(f"{ENCODED} SELECT pattern, count(*) AS fits, count(*) FILTER (place = 1) AS best FROM r GROUP BY 1")
+def line_encoding_patterns(t):
+    return _encoded(t).groupBy("pattern").agg(F.count("*").alias("fits"), F.count_if(F.col("place") == 1).alias("best"))
+
+
+@query(f"{ENCODED} SELECT CAST(CASE WHEN bits = 1 THEN 0 ELSE length(bin(bits - 1)) END AS BIGINT) AS class, count(*) AS n, round(avg(bits), 6) AS mean_bits FROM r WHERE place = 1 GROUP BY 1")
+def line_size_classes(t):
+    """Lines by the power of two that holds them, at their best encoding."""
+    best = _encoded(t).where("place = 1")
+    return best.groupBy(ceil_log2(F.col("bits")).cast("long").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg("bits"), 6).alias("mean_bits"))

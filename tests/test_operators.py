@@ -190,3 +190,15 @@ def test_shortest_paths_of_many_edges(spark, tmp_path):
     edges = spark.createDataFrame([(k, k + 1, 1) for k in range(24)] + [(0, 24, 90)], "a long, b long, w long")
     got = sets.shortest_paths(edges, spark.createDataFrame([(0,)], "source long"), None, staged)
     assert {r.node: r.cost for r in got.collect()} == {k: k for k in range(25)}
+
+
+def test_encodings_of_lines(spark):
+    def ways(words):
+        got = spark.createDataFrame([(words,)], "w array<long>").select(sets.encodings(F.col("w")).alias("e")).first()["e"]
+        return {e["pattern"]: e["bits"] for e in got}
+
+    assert ways([0, 0])["zero"] == 1
+    assert ways([7, 7])["repeated"] == 64 and "zero" not in ways([7, 7])
+    assert ways([1000, 1001, 1002, 1003]) == {"raw": 256, "base8_delta1": 96, "base8_delta2": 128, "base8_delta4": 192, "base4_delta2": 160}
+    assert ways([-(1 << 63), (1 << 63) - 1]) == {"raw": 128}
+    assert ways([0x0001000100010001, 0x0002000200020002])["base2_delta1"] == 80
