@@ -45,3 +45,20 @@ def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     pattern = r"^(\S+)\s+([-+0-9.eE]+|nan|inf)(?:\s[^#]*)?(?:#\s*(.*))?$"
     rows = lines.withColumn("dump", (begun - 1).cast("long")).where((F.col("dump") >= 0) & F.col("line").rlike(pattern))
     return rows.select("path", "dump", F.regexp_extract("line", pattern, 1).alias("name"), F.regexp_extract("line", pattern, 2).try_cast("double").alias("value"), F.trim(F.regexp_extract("line", pattern, 3)).alias("remark"))
+
+
+def section_texts(rows: DataFrame) -> DataFrame:
+    """(section, value): for rows (section, key, value) the text of each section, its keys in order; null values are empty.
+
+    `read_settings` gives the same rows back. What it couldn't read (remark signs, line ends, + before =, blanks at an end) is an error.
+    """
+    value = F.coalesce("value", F.lit(""))
+    bad = F.concat("section", F.lit("\n"), "key").rlike(r"[#;\r=\[\]]|\+$|^\s|\s$|\n.*\n|\n\s|\s\n") | F.col("key").isin("") | value.rlike(r"[#;\r\n]|^\s|\s$")
+    line = F.when(bad, F.raise_error(F.concat(F.lit("not a settings entry: "), "section", F.lit("/"), "key"))).otherwise(F.concat("key", F.lit("="), value))
+    held = rows.select("section", F.struct("key", line.alias("line")).alias("x")).groupBy("section").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return held.select("section", F.concat(F.lit("["), "section", F.lit("]\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("value"))
+
+
+def write_sections(rows: DataFrame, path: str) -> None:
+    """Text files of sections; a section isn't cut."""
+    section_texts(rows).select("value").write.text(path)

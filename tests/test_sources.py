@@ -18,6 +18,18 @@ def test_settings(spark, tmp_path):
     assert got == {("General", "Test1"): "BAR FOO", ("Other", "k"): "v=w", ("General", "Test2"): "y"}
 
 
+def test_sections_round_trip(spark, tmp_path):
+    rows = [("cpu.0", "pid", "7"), ("cpu.0", "regs", "1 2 3"), ("memory", "size", "2"), ("memory", "none", None)]
+    df = spark.createDataFrame(rows, "section string, key string, value string")
+    text.write_sections(df, str(tmp_path / "cpt"))
+    got = {(r.section, r.key, r.value) for r in text.read_settings(spark, str(tmp_path / "cpt")).collect()}
+    assert got == {(s, k, v or "") for s, k, v in rows}
+    assert text.section_texts(df.limit(0)).count() == 0
+    for bad in (("a", "k", "x#y"), ("a", "k+", "1"), ("a", "k\nl", "1"), ("a", "", "1"), ("a\n", "k", "1")):
+        with pytest.raises(Exception, match="not a settings entry"):
+            text.section_texts(spark.createDataFrame([bad], df.schema)).collect()
+
+
 def test_statistics(spark, tmp_path):
     (tmp_path / "stats.txt").write_text("junk 1\n---------- Begin Simulation Statistics ----------\nsim_ticks   1000 # ticks\nrate nan # x\n\n---------- End Simulation Statistics   ----------\n---------- Begin Simulation Statistics ----------\nsim_ticks 2.5e3\nlat::mean 4 10.00% 20.00% # share\n")
     got = sorted((r.dump, r.name, str(r.value), r.remark) for r in text.read_statistics(spark, str(tmp_path / "stats.txt")).collect())
