@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a Jaccard similarity of 0.8 (five-word shingles) the document with the least id (of several, the one with the least row key)."""
+    """Of each group of texts linked by a Jaccard similarity of 0.8 (five-word shingles; SimHash and its index, then MinHash) the document with the least id (of several, the one with the least row key)."""
     return _first_of_key(docs, similar_groups(docs).select(F.col("row_key").alias("__key")), "left_semi")
 
 
@@ -51,10 +51,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _first_of_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose key is among `keys`; one of several with a key."""
+    """Rows of docs whose key is among `keys`; one of several with a key. Only rows that repeat are dealt by their key."""
     named, at, back = plain_names(docs)
-    kept = named.withColumn("__key", row_key(at("doc_id"), at("text"))).join(staged(keys, "kept-keys"), "__key", how)
-    return back(kept.dropDuplicates(["__key"]))
+    keyed = named.withColumn("__key", row_key(at("doc_id"), at("text")))
+    keys = staged(keys, "kept-keys")
+    repeated = staged(keyed.select("__key").join(keys, "__key", how).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"), "repeated-keys")
+    kept = keyed.join(keys, "__key", how)
+    return back(kept.join(repeated, "__key", "left_anti").unionByName(kept.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -26,17 +26,23 @@ LEAF = 32
 PAIRS_AT_ONCE = 4096
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, repeats included; a shorter text is one run, one without words has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     stops = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)], np.uint64)
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero for none."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 250 * 64):  # 250 rows at most in an 8-bit sum
         bits = np.unpackbits(hashes[at : at + 250 * 64].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -47,6 +53,10 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each code in the reflected binary Gray order."""
     for shift in (1, 2, 4, 8, 16, 32):

@@ -1,92 +1,242 @@
-"""Near copies by the Jaccard similarity of their word shingles: candidates by MinHash, then an exact check.
-
-Sets of shingles are reduced to distinct ones first, so copies cost nothing in the search. A set goes to one bucket for
-each of BANDS groups of ROWS minima: of these two sets of similarity 0.8 share 2 or more with probability 0.999, and only
-such pairs are checked. A bucket's members aren't paired with each other: in each round they are compared with a hub, the
-member that meets most sets in its buckets (in a group of copies that is the one the others were made from). Those that
-aren't like it go on to the next one of the bucket, and those that are left after ROUNDS to their next neighbours in the
-bucket's order. So the pairs of a bucket grow with its size, not with its square, and all 24 buckets of a set have hubs of their
-own; members of one group that no such pair connects stay apart, which the README gives a measured figure for.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash and MinHash candidates, then an exact check.
+
+Sets of shingles are reduced to distinct ones first, so copies cost nothing in the search. Candidates come from op7's
+method, the stars of the Gray-order index over SimHash fingerprints of the same shingles, and for the pairs whose
+fingerprints differ in more bits than that index can reach from the buckets of BANDS groups of ROWS minima. Two sets of
+similarity 0.8 share a bucket with probability 0.9999; a pair of a bucket is a candidate if the share of equal minima (one
+byte of each) isn't over DEVIATIONS standard deviations below the similarity.
+
+All pairs of a bucket are looked at, but few are checked as texts: first a spanning forest of the likeliest candidates of
+each bucket, then, once the links found are known, every other candidate between groups that are still apart. A link inside
+a group changes nothing, so no pair of a bucket is left out. Buckets of more than SLICE members are cut to slices: the
+forest is made in each, the rest in each pair of slices, so a task holds two slices at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import row_key, staged, unstaged, utf8
 from ravelin.llm.connected import components
+from ravelin.llm.simhash import fingerprint_of, links, shingle_hashes
 
 BANDS, ROWS = 24, 5
-COMMON_BANDS = 2
-ROUNDS, NEIGHBOURS = 4, 2
-BROADCAST_SETS = 1_000_000  # keys of 8 bytes
-SLICE = 10_000  # members of a bucket that are put in order together
+DEVIATIONS = 4
+DISTANCE = 3  # bits, as far as the Gray-order index goes
+SLICE = 4_000  # members of a bucket that are compared in one task
+BROADCAST_ROWS = 1_000_000  # rows of three keys
+CELL = 256  # sets that are checked against each other, or against as many others, in one go
+PAIRS_AT_ONCE = 100_000
 _FACTORS = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """The distinct hashes of the runs of `shingle` words, sorted; a shorter text is one run, one without words has none."""
-    words = text.lower().split()
-    n = max(1, len(words) - shingle + 1) if words else 0
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[k : k + shingle]), 42) for k in range(n)], np.uint64))
+    return np.unique(shingle_hashes(text, shingle))
 
 
-def buckets(hashes: np.ndarray) -> list[int]:
-    if not len(hashes):
-        return []
+def minima(hashes: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         np.minimum(least, (_FACTORS[:, None] * hashes[None, at : at + 4096]).min(axis=1), out=least)
+    return least
+
+
+def buckets(least: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def least_equal(similarity: float) -> int:
+    """Equal minima that a pair needs to be a candidate."""
+    n = BANDS * ROWS
+    return max(1, math.floor(n * similarity - DEVIATIONS * math.sqrt(n * similarity * (1 - similarity))))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have the similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
 def _signatures(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, bands = [], []
+            ids, bands, sketches, sizes, fps = [], [], [], [], []
             for t in b.column("bytes").to_pylist():
-                hashes = shingle_set(t, shingle)
-                ids.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63))
-                bands.append(buckets(hashes))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row_key"), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row_key", "set", "bands"])
+                hashes = shingle_hashes(t, shingle)
+                found = np.unique(hashes)
+                least = minima(found)
+                ids.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
+                bands.append(buckets(least) if len(found) else [])
+                sketches.append(least.astype(np.uint8).tobytes())
+                sizes.append(len(found))
+                fps.append(fingerprint_of(hashes))
+            columns = [pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row_key"), *columns], names=["id", "row_key", "set", "bands", "sketch", "size", "fp"])
 
     return run
 
 
-def _sets(shingle: int):
+class Members(NamedTuple):
+    """Sets of one bucket, or of a part of it."""
+
+    slices: np.ndarray
+    sets: np.ndarray
+    heads: np.ndarray
+    sizes: np.ndarray
+    sketches: np.ndarray
+
+    def equal(self, k: int, at: slice | np.ndarray, similarity: float) -> np.ndarray:
+        """Equal minima of member k and others; -1 where the sizes alone rule out the similarity."""
+        size, others = self.sizes[k], self.sizes[at]
+        near = np.minimum(others, size) >= similarity * np.maximum(others, size) - 1e-9
+        return np.where(near, (self.sketches[at] == self.sketches[k]).sum(axis=1), -1)
+
+
+def forest(rows: Members, least: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges (row, row) of a spanning forest of the pairs with `least` equal minima, the likeliest first (Prim)."""
+    n = len(rows.sets)
+    best, source = np.full(n, -2), np.zeros(n, np.int64)
+    outside = np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        outside[at] = False
+        equal = rows.equal(at, slice(None), similarity)
+        nearer = outside & (equal > best)
+        best[nearer], source[nearer] = equal[nearer], at
+        at = int(np.argmax(np.where(outside, best, -3)))
+        if best[at] >= least:
+            yield int(source[at]), at
+
+
+def _of_groups(work: Callable[[Members], Iterator[np.ndarray]]):
+    """mapInArrow over rows (bucket, part, other, slice, set, head, size, sketch) sorted by the first three: work() of each group gives arrays of pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done, n = None, [], 0
+        for b in _with_end(batches):
+            parts = [x for x in (held, None if b is None else pa.Table.from_batches([b])) if x is not None]
+            if not parts:
+                continue
+            rows = pa.concat_tables(parts).combine_chunks()
+            if not len(rows):
+                continue
+            key = np.stack([rows.column(c).to_numpy() for c in ("bucket", "part", "other")], 1).astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(rows)] if b is None else []]).astype(np.int64)
+            held = rows.slice(cuts[-1])
+            if b is not None and len(cuts) < 2:
+                continue
+            columns = [rows.column(c).to_numpy() for c in ("slice", "set", "head", "size")]
+            sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                for pairs in work(Members(*(c[x:y] for c in (*columns, sketches)))):
+                    done.append(pairs)
+                    n += len(pairs)
+                    if n > PAIRS_AT_ONCE:
+                        yield _pairs(done)
+                        done, n = [], 0
+        if n:
+            yield _pairs(done)
+
+    return run
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.concatenate(parts)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows.min(axis=1))), pa.array(np.ascontiguousarray(rows.max(axis=1)))], names=["u", "v"])
+
+
+def _likeliest(least: int, similarity: float):
+    def work(rows: Members) -> Iterator[np.ndarray]:
+        edges = list(forest(rows, least, similarity))
+        if edges:
+            yield rows.sets[np.array(edges)]
+
+    return _of_groups(work)
+
+
+def _apart(least: int, similarity: float):
+    """The candidates between different groups: of one slice, or of two slices those between them."""
+
+    def work(rows: Members) -> Iterator[np.ndarray]:
+        one = (rows.slices == rows.slices[0]).all()
+        for k in range(len(rows.sets)):
+            others = rows.heads[k + 1 :] != rows.heads[k]
+            if not one:
+                others &= rows.slices[k + 1 :] != rows.slices[k]
+            at = np.flatnonzero(others) + k + 1
+            at = at[rows.equal(k, at, similarity) >= least]
+            if len(at):
+                yield np.stack([np.full(len(at), rows.sets[k]), rows.sets[at]], 1)
+
+    return _of_groups(work)
+
+
+def _checked(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}  # a cell's texts come before its pairs
         for b in batches:
-            got = [shingle_set(t, shingle).view(np.int64) for t in b.column("bytes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(got, pa.list_(pa.int64()))], names=["set", "hashes"])
+            found = []
+            for *key, u, v, t in zip(*(b.column(c).to_pylist() for c in ("head", "part", "other", "u", "v", "bytes")), strict=True):
+                if key != cell:
+                    cell, sets = key, {}
+                if t is not None:
+                    sets[u] = shingle_set(t, shingle)
+                elif alike(sets[u], sets[v], similarity):
+                    found.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def _alike(pairs: DataFrame, bands: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs (u, v) whose sets have the similarity. Sets move only for pairs with COMMON_BANDS buckets in common."""
-    of = lambda df, key, value, name: df.select(F.col("set").alias(key), F.col(value).alias(name))
-    shared = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = staged(pairs.distinct(), "pairs")
-    few = _of_pairs(bands, pairs)
-    likely = staged(pairs.join(of(few, "u", "bands", "a"), "u").join(of(few, "v", "bands", "b"), "v").where(shared >= COMMON_BANDS).select("u", "v"), "likely")
-    few = _of_pairs(sets, likely)
-    both = likely.join(of(few, "u", "hashes", "a"), "u").join(of(few, "v", "hashes", "b"), "v").withColumn("common", F.size(F.array_intersect("a", "b")))
-    found = staged(both.where(F.col("common") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("common")) - 1e-9).select("u", "v"), "alike")
-    unstaged(pairs, likely)
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v), distinct, whose sets have the similarity.
+
+    Pairs that hang together are checked in one place, so that each text goes there once; of more than CELL sets they are
+    dealt to cells, one for each two parts of the sets.
+    """
+    inner = components(pairs)
+    nodes = inner.select(F.col("u").alias("set"), F.col("v").alias("head")).union(inner.select("v", "v").distinct())
+    cells = nodes.groupBy("head").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    placed = staged(nodes.join(cells, "head").select("set", "head", F.pmod(F.xxhash64("set"), F.col("cells")).alias("cell")), "placed")
+    of = lambda key, cell: placed.select(F.col("set").alias(key), *(["head"] if key == "u" else []), F.col("cell").alias(cell))
+    asked = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("head", F.least("a", "b").alias("part"), F.greatest("a", "b").alias("other"), "u", "v")
+    asked = staged(asked, "asked")
+    wanted = staged(asked.select("head", "part", "other", F.explode(F.array("u", "v")).alias("set")).distinct(), "wanted-texts")
+    given = texts.join(_small(wanted), "set").select("head", "part", "other", F.col("set").alias("u"), F.lit(None).cast("long").alias("v"), "bytes")
+    rows = given.union(asked.withColumn("bytes", F.lit(None).cast("binary"))).repartition("head", "part", "other")
+    found = rows.sortWithinPartitions("head", "part", "other", F.col("bytes").isNull()).mapInArrow(_checked(shingle, similarity), "u long, v long")
+    found = staged(found, "alike")
+    unstaged(placed, asked, wanted)
     return found
 
 
-def _of_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of df whose set is in one of the pairs, so that no others are shuffled; the keys are broadcast while few."""
-    wanted = staged(pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct(), "sets-of-pairs")
-    return df.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted, "set", "left_semi")
+def _of_fingerprints(distinct: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets: the first of a fingerprint with its others, and the stars of the Gray-order index between the first ones."""
+    first = staged(distinct.groupBy("fp").agg(F.min("set").alias("first")), "fingerprints")
+    same = distinct.select("set", "fp").join(first, "fp").where("set <> first").select(F.col("set").alias("u"), F.col("first").alias("v"))
+    of = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    stars = staged(links(first.select("fp"), DISTANCE).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "stars-of-fingerprints")
+    return same.union(stars.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,48 +245,42 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     Null and empty texts are one group. Groups are told apart by `head`, the least set of theirs, so null and repeated ids
     don't join groups; repeated rows share a row key. An empty table gives an empty result. Other columns are ignored.
     """
+    least = least_equal(similarity)
     keyed = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), utf8(text_col).alias("bytes"))
     kind = keyed.schema["id"].dataType.simpleString()
-    marked = staged(keyed.mapInArrow(_signatures(shingle), f"id {kind}, row_key long, set long, bands array<long>"), "signatures")
+    marked = staged(keyed.mapInArrow(_signatures(shingle), f"id {kind}, row_key long, set long, bands array<long>, sketch binary, size long, fp long"), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key")).alias("first")
-    distinct = staged(marked.groupBy("set").agg(first, F.first("bands").alias("bands")), "distinct-sets")
+    distinct = staged(marked.groupBy("set").agg(first, *(F.first(c).alias(c) for c in ("bands", "sketch", "size", "fp"))), "distinct-sets")
+    unstaged(marked)
     banded = distinct.select("set", F.explode("bands").alias("bucket"))
     sizes = staged(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    shared = staged(banded.join(sizes, "bucket"), "shared-buckets")
-    met = shared.groupBy("set").agg(F.count("*").alias("k"), F.sum("n").alias("weight")).where(F.col("k") >= COMMON_BANDS)
-    met = staged(met.select("set", "weight"), "met")  # no other set can be like one of these
-    members = staged(shared.join(met, "set"), "members")
-    known = distinct.join(met.select("set"), "set", "left_semi")
-    bands = staged(known.select("set", "bands"), "bands")
-    texts = keyed.join(staged(known.select("set", F.col("first.row_key").alias("row_key")), "wanted-sets"), "row_key").dropDuplicates(["set"])
-    sets = staged(texts.select("set", "bytes").mapInArrow(_sets(shingle), "set long, hashes array<long>"), "sets")
-
-    links, left, pool = [], members, members
-    for k in range(ROUNDS):
-        hubs = staged(pool.groupBy("bucket").agg(F.max_by("set", F.struct("weight", "set")).alias("hub"), F.count("*").alias("__m")), "hubs")
-        told = staged(left.join(hubs, "bucket"), "told")
-        alike = _alike(told.where("set <> hub").select(F.col("set").alias("u"), F.col("hub").alias("v")), bands, sets, similarity)
-        links.append(alike)
-        rest = told.where("set <> hub").join(alike.select(F.col("u").alias("set"), F.col("v").alias("hub")), ["set", "hub"], "left_anti").select(*members.columns)
-        if k:  # a hub that isn't like the first ones can still be like one of their groups
-            rest = rest.unionByName(told.where("set = hub and __m > 1").select(*members.columns))
-        left = staged(rest, "left")
-        if left.isEmpty():
-            break
-        pool = pool.join(staged(left.select("bucket").distinct(), "open-buckets"), "bucket", "left_semi").join(hubs.select("bucket", F.col("hub").alias("set")), ["bucket", "set"], "left_anti")
-        pool = staged(pool, "pool")
-    else:
-        order = Window.partitionBy("bucket", F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / SLICE))).orderBy(F.col("weight").desc(), "set")
-        beside = F.array(*(f("set", k).over(order) for k in range(1, NEIGHBOURS + 1) for f in (F.lag, F.lead)))
-        pairs = pool.withColumn("v", beside).join(left.select("bucket", "set"), ["bucket", "set"], "left_semi").select(F.col("set").alias("u"), F.explode("v").alias("v"))
-        links.append(_alike(pairs.where("v is not null"), bands, sets, similarity))
-    heads = components(_union(links)).select(F.col("u").alias("set"), F.col("v").alias("head"))
-    grouped = distinct.select("set", "first").join(heads, "set", "left").groupBy(F.coalesce("head", "set").alias("head")).agg(F.min("first").alias("first"))
-    return grouped.select("head", F.col("first.id").alias("id"), F.col("first.row_key").alias("row_key"))
+    members = staged(banded.join(sizes, "bucket"), "members")
+    close = staged(_of_fingerprints(distinct), "close-fingerprints")
+    known = members.select("set").union(close.select(F.col("u").alias("set"))).union(close.select(F.col("v").alias("set"))).distinct()
+    known = staged(distinct.join(known, "set", "left_semi").select("set", F.col("first.row_key").alias("row_key"), "sketch", "size"), "known-sets")
+    texts = staged(keyed.join(_small(known.select("row_key", "set")), "row_key").select("set", "bytes").dropDuplicates(["set"]), "texts")
+
+    def dealt(rows: DataFrame, work: Callable) -> DataFrame:
+        """Pairs from rows (bucket, part, other, slice, set, head), one group to a task at a time."""
+        rows = rows.join(known.select("set", "sketch", "size"), "set").select("bucket", "part", "other", "slice", "set", "head", "size", "sketch")
+        return rows.repartition("bucket", "part", "other").sortWithinPartitions("bucket", "part", "other").mapInArrow(work(least, similarity), "u long, v long").distinct()
+
+    sliced = members.withColumn("slices", F.ceil(F.col("n") / SLICE)).withColumn("slice", F.pmod(F.xxhash64("set", "bucket"), F.col("slices")))
+    alone = sliced.select("bucket", F.col("slice").alias("part"), F.lit(0).cast("long").alias("other"), "slice", "set", F.col("set").alias("head"))
+    between = close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    tried = staged(dealt(alone, _likeliest).union(between).distinct(), "tried")
+    found = _alike(tried, texts, shingle, similarity)
 
+    heads = components(found).select(F.col("u").alias("set"), F.col("v").alias("head"))
+    grouped = staged(sliced.join(heads, "set", "left").withColumn("head", F.coalesce("head", "set")), "members-of-groups")
+    open_ = grouped.groupBy("bucket").agg(F.min("head").alias("a"), F.max("head").alias("b")).where("a <> b").select("bucket")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("with")
+    grid = grouped.join(staged(open_, "open-buckets"), "bucket", "left_semi").select("bucket", "slice", "set", "head", each)
+    grid = grid.select("bucket", F.least("slice", "with").alias("part"), F.greatest("slice", "with").alias("other"), "slice", "set", "head")
+    rest = staged(dealt(grid, _apart).join(tried, ["u", "v"], "left_anti"), "rest")
+    found = staged(found.union(_alike(rest, texts, shingle, similarity)), "links")
+    unstaged(texts, members, grouped)
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    heads = components(found).select(F.col("u").alias("set"), F.col("v").alias("head"))
+    grouped = distinct.select("set", "first").join(heads, "set", "left").groupBy(F.coalesce("head", "set").alias("head")).agg(F.min("first").alias("first"))
+    return grouped.select("head", F.col("first.id").alias("id"), F.col("first.row_key").alias("row_key"))

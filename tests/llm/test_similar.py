@@ -63,3 +63,32 @@ def test_ids_dont_join_groups(spark, tmp_path):
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [5, 5, 9]
     again = docs.union(docs)  # repeated rows: one stays
     assert P.near_dedup(spark, again, str(tmp_path)).count() == 4
+
+
+def test_pairs_hidden_in_a_bucket_of_unlike_sets(spark, monkeypatch):
+    """All texts share a core and so their buckets, but only those of a pair are like each other."""
+    from ravelin.llm import similar
+
+    rng = random.Random(4)
+    core, texts = [f"core{k}" for k in range(300)], []
+    for k in range(150):
+        own = [f"own{k}x{i}" for i in range(45)]
+        texts.append(" ".join(core + own))
+        for i in rng.sample(range(45), 4):
+            own[i] = f"changed{k}x{i}"
+        texts.append(" ".join(core + own))
+    want = sorted(set(brute(texts)))
+    assert len(want) == 150
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4)
+    monkeypatch.setattr(similar, "SLICE", 24, raising=False)
+    monkeypatch.setattr(similar, "CELL", 16, raising=False)
+    assert sorted(r.id for r in similar_groups(docs).collect()) == want
+
+
+def test_fingerprints_give_candidates(spark):
+    """Close fingerprints are candidates, whatever the buckets say."""
+    from ravelin.llm.similar import _of_fingerprints
+
+    sets = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 1 << 40), (5, (1 << 62) - 1)], "set long, fp long")
+    got = {(min(r), max(r)) for r in _of_fingerprints(sets).collect()}
+    assert (1, 2) in got and {3, 4} <= {x for p in got for x in p} and not any(5 in p for p in got)
