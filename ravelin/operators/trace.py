@@ -50,12 +50,15 @@ def outstanding(df: DataFrame, by: list[str], start: Column, end: Column) -> Dat
 
 
 def busy_time(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """(by.., busy, slots): length and number of the merged [start, end) intervals of each resource."""
+    """(by.., busy, slots): length and number of the merged [start, end) intervals of each resource.
+
+    Each interval adds what lies beyond the ends before it, so islands are never grouped: one sort, then a sum for each resource.
+    """
     before = Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    fresh = df.withColumn("__new", F.when(F.max(end).over(before) >= F.col(start), 0).otherwise(1))
-    islands = fresh.withColumn("__island", F.sum("__new").over(Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy(*by, "__island").agg(F.min(start).alias("__lo"), F.max(end).alias("__hi"))
-    return merged.groupBy(*by).agg(F.sum(F.col("__hi") - F.col("__lo")).alias("busy"), F.count("*").alias("slots"))
+    told = df.select(*by, start, end).withColumn("__reached", F.max(end).over(before))
+    apart = F.when(F.col("__reached") >= F.col(start), False).otherwise(True)
+    added = F.when(apart, F.col(end) - F.col(start)).otherwise(F.greatest(end, "__reached") - F.col("__reached"))
+    return told.groupBy(*by).agg(F.sum(added).alias("busy"), F.count_if(apart).alias("slots"))
 
 
 def block_intervals(df: DataFrame, by: list[str], order: str, ends_block: Column, size: int) -> DataFrame:

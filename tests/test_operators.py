@@ -202,3 +202,21 @@ def test_encodings_of_lines(spark):
     assert ways([1000, 1001, 1002, 1003]) == {"raw": 256, "base8_delta1": 96, "base8_delta2": 128, "base8_delta4": 192, "base4_delta2": 160}
     assert ways([-(1 << 63), (1 << 63) - 1]) == {"raw": 128}
     assert ways([0x0001000100010001, 0x0002000200020002])["base2_delta1"] == 80
+
+
+def test_busy_time_by_added_lengths(spark):
+    rng = random.Random(5)
+    rows = [(k % 3, a, a + rng.choice([0, 1, 5, 40])) for k in range(300) for a in [rng.randint(0, 900)]]
+    df = trace.busy_time(spark.createDataFrame(rows, "k int, s long, e long"), ["k"], "s", "e")
+    want = {}
+    for key in range(3):
+        islands = []
+        for _, a, b in sorted(r for r in rows if r[0] == key):
+            if islands and islands[-1][1] >= a:
+                islands[-1][1] = max(islands[-1][1], b)
+            else:
+                islands.append([a, b])
+        want[key] = (sum(b - a for a, b in islands), len(islands))
+    assert {r.k: (r.busy, r.slots) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Aggregate [") == 1  # no map of islands beside the sort
