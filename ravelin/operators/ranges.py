@@ -8,6 +8,8 @@ split into SALT parts by the point's hash, and a range stands in each part; rang
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,48 +99,51 @@ def level_links(catalog: DataFrame, width: int = 1024) -> DataFrame:
     return overlaps(a, b, ("plo", "clo"), ("phi", "chi"), width, ("below", "cl")).select("parent", "child")
 
 
-def starts_between(points: DataFrame, at: str, among: DataFrame, key: str, by: list[str], block: int = 4096) -> DataFrame:
-    """points(.., at) x the groups `by` of among -> rows (points.., by.., n): how many keys of each group are <= at.
+def counts_upto(points: DataFrame, at: str, among: DataFrame, key: str, kinds: dict[str, Column], own: list[str], block: int = 4096) -> DataFrame:
+    """points(.., at, own..) with a column for each of `kinds` (name -> condition on among): how many such keys, of rows that agree in `own`, are <= at.
 
-    Ranks instead of pairs: keys are counted by group, block of the key and key; a point adds the blocks before its own
-    (a running sum with a row for each block) and the keys before it in its own block.
+    Running sums instead of pairs, a row for each distinct key or point: inside blocks of the key, after the totals of the blocks before.
     """
-    counted = among.groupBy(*by, F.col(key).cast("long").alias("__key")).agg(F.count("*").alias("__n")).withColumn("__block", div(F.col("__key"), block))
-    inside = Window.partitionBy(*by, "__block").orderBy("__key")
-    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counted.groupBy(*by, "__block").agg(F.sum("__n").alias("__s")).withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
-    ranks = counted.withColumn("__in", F.sum("__n").over(inside)).join(blocks, [*by, "__block"]).select(*by, "__key", (F.col("__before") + F.col("__in")).alias("__rank"))
-    # each group's points and keys in one order, cut to blocks: the last rank at or before a point
-    groups = among.select(*by).distinct().limit(MAX_GROUPS + 1).collect()
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups of {by}")
-    kinds = [among.schema[c].dataType for c in by]
-    each = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(by, g, kinds, strict=True))) for g in groups))
-    asked = points.select(F.col(at).cast("long").alias("__key")).distinct()
-    asked = asked.withColumn("__g", F.explode(each)).select("__key", "__g.*") if groups else asked.join(among.select(*by).limit(0))
-    both = asked.withColumn("__rank", F.lit(None).cast("long")).withColumn("__ask", F.lit(1)).unionByName(ranks.withColumn("__ask", F.lit(0)))
-    both = both.withColumn("__block", div(F.col("__key"), block))
-    last = both.withColumn("n", F.max("__rank").over(Window.partitionBy(*by, "__block").orderBy("__key", "__ask").rowsBetween(Window.unboundedPreceding, 0)))
-    tops = both.groupBy(*by, "__block").agg(F.max("__rank").alias("__top")).withColumn("__top", F.max("__top").over(before)).select(*by, "__block", "__top")
-    told = last.where("__ask = 1").join(tops, [*by, "__block"], "left").select(*by, F.col("__key").alias("__at"), F.coalesce("n", "__top", F.lit(0)).alias("n"))
-    return points.join(told, F.col(at).cast("long") == F.col("__at")).drop("__at")
+    keys = among.select(*own, F.col(key).cast("long").alias("__key"), *(F.coalesce(c.cast("int"), F.lit(0)).alias(k) for k, c in kinds.items()))
+    keys = keys.groupBy(*own, "__key").agg(*(F.sum(k).alias(k) for k in kinds)).withColumn("__ask", F.lit(0))
+    asked = points.select(*own, F.col(at).cast("long").alias("__key")).distinct().select("*", *(F.lit(0).cast("long").alias(k) for k in kinds), F.lit(1).alias("__ask"))
+    both = keys.unionByName(asked).withColumn("__block", div(F.col("__key"), block))
+    before = Window.partitionBy(*own).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy(*own, "__block").agg(*(F.sum(k).alias(k) for k in kinds))
+    blocks = blocks.select(*own, "__block", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__before_{k}") for k in kinds))
+    inside = Window.partitionBy(*own, "__block").orderBy("__key", "__ask").rowsBetween(Window.unboundedPreceding, 0)
+    told = both.select(*own, "__key", "__ask", "__block", *(F.sum(k).over(inside).alias(k) for k in kinds)).where("__ask = 1").join(blocks, [*own, "__block"])
+    told = told.select(*own, F.col("__key").alias("__at"), *((F.col(k) + F.col(f"__before_{k}")).alias(k) for k in kinds))
+    return points.withColumn("__at", F.col(at).cast("long")).join(told, ["__at", *own]).drop("__at")
 
 
 def related_channels(catalog: DataFrame) -> DataFrame:
     """(file, channel, n): per channel the ranges of other levels that overlap a file's, and its neighbours on its own level.
 
-    Ranges that overlap [lo, hi] are those that start at hi or before, less those that end before lo: two ranks for each
-    channel and level, no pairs. Channels and levels are few, which bounds the rows of a file.
+    Ranges that overlap [lo, hi] are those that start at hi or before, less those that end before lo: two counts, no pairs,
+    less the same two on the file's own level. The counts of WIDE channels at a time stand in columns, so a file has four
+    rows for them, however many channels and levels there are.
     """
-    files = catalog.where(F.col("lo") <= F.col("hi"))
-    started = starts_between(files.select("file", F.col("level").alias("own"), F.col("hi").alias("at")), "at", files, "lo", ["channel", "level"])
-    ended = starts_between(files.select("file", F.col("level").alias("own"), (F.col("lo") - 1).alias("at")), "at", files, "hi", ["channel", "level"])
-    signed = started.select("file", "own", "channel", "level", "n").unionByName(ended.select("file", "own", "channel", "level", (-F.col("n")).alias("n")))
-    across = signed.where("own <> level").groupBy("file", "channel").agg(F.sum("n").alias("n"))
+    files = catalog.where((F.col("lo") <= F.col("hi")) & F.col("level").isNotNull())
+    channels = [r[0] for r in files.select("channel").where("channel is not null").distinct().limit(MAX_GROUPS + 1).collect()]
+    if len(channels) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} channels")
+    channels.sort()
+    across = []
+    for first in range(0, len(channels), WIDE):
+        named = {f"__n{k}": c for k, c in enumerate(channels[first : first + WIDE])}
+        kinds, parts = {k: F.col("channel") == F.lit(c) for k, c in named.items()}, []
+        for at, key, sign in ((F.col("hi"), "lo", 1), (F.col("lo") - 1, "hi", -1)):
+            points = files.select("file", "level", at.alias("at"))
+            for own, of in (([], sign), (["level"], -sign)):
+                parts.append(counts_upto(points, "at", files, key, kinds, own).select("file", *((F.col(k) * of).alias(k) for k in kinds)))
+        summed = reduce(DataFrame.unionByName, parts).groupBy("file").agg(*(F.sum(k).alias(k) for k in kinds))
+        kind = catalog.schema["channel"].dataType
+        across.append(summed.select("file", F.explode(F.array(*(F.struct(F.lit(c).cast(kind).alias("channel"), F.col(k).alias("n")) for k, c in named.items()))).alias("x")).select("file", "x.*"))
     w = Window.partitionBy("level").orderBy("lo", "hi", "file")
     both = catalog.select("file", F.array(F.lag("channel").over(w), F.lead("channel").over(w)).alias("both"))
     beside = both.select("file", F.explode("both").alias("channel")).where("channel is not null").groupBy("file", "channel").agg(F.count("*").alias("n"))
-    return across.unionByName(beside).groupBy("file", "channel").agg(F.sum("n").alias("n")).where("n > 0")
+    return reduce(DataFrame.unionByName, across, beside).groupBy("file", "channel").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def place(catalog: DataFrame, channels: int) -> DataFrame:

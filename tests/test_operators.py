@@ -220,3 +220,16 @@ def test_busy_time_by_added_lengths(spark):
     assert {r.k: (r.busy, r.slots) for r in df.collect()} == want
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("Aggregate [") == 1  # no map of islands beside the sort
+
+
+def test_counts_upto_has_a_row_for_each_point(spark):
+    rng = random.Random(6)
+    keys = [(rng.randint(0, 20_000), rng.choice("ab"), rng.randint(1, 3)) for _ in range(400)] + [(5, None, 1)]
+    points = [(k, rng.randint(-3, 21_000), rng.randint(1, 3)) for k in range(100)]
+    among, at = spark.createDataFrame(keys, "key long, kind string, level int"), spark.createDataFrame(points, "id long, at long, level int")
+    kinds = {c: F.col("kind") == c for c in "ab"}
+    for own in ([], ["level"]):
+        got = ranges.counts_upto(at, "at", among, "key", kinds, own).collect()
+        assert len(got) == 100
+        for r in got:
+            assert [r.a, r.b] == [sum(x <= r.at and kind == c and (not own or level == r.level) for x, kind, level in keys) for c in "ab"]
