@@ -75,3 +75,10 @@ def test_very_long_urls(spark):
     rows = [(1, "http://a.example.net/de/" + "x" * 300_000, None), (2, "y" * 300_000, None), (3, "http://" + "h" * 100_000 + ".com/en/", None)]
     got = {r.page_id: (len(r.host), len(r.path), r.rule) for r in U.judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (13, 300_004, "net/de/"), 2: (0, 0, None), 3: (100_004, 4, "com/en/")}
+
+
+def test_every_ruled_url_is_a_label(spark):
+    pages = spark.range(10_500).selectExpr("id AS page_id", "concat('http://h', id % 7, '.com/en/', id) AS url", "'' AS html")
+    given = U.ruled(pages.union(pages), "page_id", "url", U.RULES)
+    labelled = U.labelled_urls(given, U.RULES)
+    assert labelled.count() == labelled.select("__url").distinct().count() == 10_500
