@@ -92,3 +92,30 @@ def test_fingerprints_give_candidates(spark):
     sets = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 1 << 40), (5, (1 << 62) - 1)], "set long, fp long")
     got = {(min(r), max(r)) for r in _of_fingerprints(sets).collect()}
     assert (1, 2) in got and {3, 4} <= {x for p in got for x in p} and not any(5 in p for p in got)
+
+
+def test_nearly_alike_sets_make_no_rows_of_their_pairs(spark, monkeypatch):
+    """One group of texts most of which are a little less alike than 0.8: what is staged grows with the sets and their buckets."""
+    from ravelin.llm import similar
+
+    rng, real, rows = random.Random(6), similar.staged, {}
+    base, texts = [f"base{k}" for k in range(100)], []
+    for k in range(300):
+        words = list(base)
+        for i in rng.sample(range(100), rng.choice((2, 2, 2, 2, 2, 1))):
+            words[i] = f"changed{k}x{i}"
+        texts.append(" ".join(words))
+    want = sorted(set(brute(texts)))
+    assert 1 < len(want) < 300
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4)
+    monkeypatch.setattr(similar, "staged", counted)
+    assert sorted(r.id for r in similar_groups(docs).collect()) == want
+    assert max(rows.values()) <= similar.BANDS * len(texts), rows
+    monkeypatch.setattr(similar, "SHINGLES", 5_000, raising=False)  # slices by shingles: about 6 of the group's 30,000
+    assert sorted(r.id for r in similar_groups(docs).collect()) == want
